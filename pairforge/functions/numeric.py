@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -13,7 +14,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def number_or(value: Column, default: float = 0.0) -> Column:
     """Text to DOUBLE, with a default for anything unreadable."""
-    return F.coalesce(F.expr("CAST(NULL AS DOUBLE)") if value is None else value.try_cast("double"), F.lit(default))
+    return F.coalesce(value.try_cast("double"), F.lit(default))
 
 
 def is_close(left: Column, right: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
@@ -53,7 +54,7 @@ def student_two_sided(t: Column, dof: Column) -> Column:
     return _student_tail(t, dof)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _normal_cdf(z):
     from math import erfc, sqrt
 
@@ -104,7 +105,7 @@ def student_tail(t: float | None, dof: float | None) -> float | None:
     return 1.0 - scale * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _student_tail(t, dof):
     import pyarrow as pa
 

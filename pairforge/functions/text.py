@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
-_RUN = rf"(?U){_SPACE}+"
+# Every character that Python's str.isspace() accepts.
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760]
+                         + [*range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+# A run worth rewriting: anything but one plain blank. Most blanks never match.
+_RUN = r"(?U) [\s\x1c-\x1f]+|[^\S ][\s\x1c-\x1f]*|[\x1c-\x1f][\s\x1c-\x1f]*"
 MARKER = "ASSISTANT:"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def collapse(text: Column) -> Column:

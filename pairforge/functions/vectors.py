@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GUARD = 1e-12
 
@@ -30,7 +31,7 @@ def as_lists(matrix):
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def dot(left, right):
     import numpy as np
     import pyarrow as pa
@@ -38,7 +39,7 @@ def dot(left, right):
     return pa.array(np.einsum("ij,ij->i", as_matrix(left), as_matrix(right)))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def cosine(left, right):
     """Plain cosine with a guarded denominator."""
     import numpy as np
@@ -49,7 +50,7 @@ def cosine(left, right):
     return pa.array(np.einsum("ij,ij->i", a, b) / (norms + GUARD))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def unit(vector):
     """L2-normalised vector; a zero vector stays zero."""
     import numpy as np
@@ -65,7 +66,7 @@ def dots_with(matrix: list[list[float]]):
 
     fixed = np.asarray(matrix, dtype=np.float64)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def products(vector):
         return as_lists(as_matrix(vector) @ fixed.T)
 

@@ -87,15 +87,18 @@ def exact_quantiles(
     group: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one named column each.
 
-    Equal values are counted before the shuffle; NULL values are skipped.
+    Equal values are counted before the shuffle; NULL values are skipped. ``weight``
+    names an integer column of repetitions when rows are already counted.
     """
+    repeats = F.lit(1) if weight is None else F.col(weight)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(repeats).alias("_n"))
     )
     placed = running_totals(counted, group, ["_value"], {"_n": F.col("_n")})
 
@@ -156,14 +159,8 @@ def salted_join(
 
 
 def _hashable(df: DataFrame) -> list[str]:
-    """Cheap columns that tell the rows of a hot key apart."""
-    simple = [
-        name
-        for name, kind in df.dtypes
-        if kind in ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date")
-        or kind.startswith("timestamp")
-    ]
-    return simple or [name for name, kind in df.dtypes if not kind.startswith("map")]
+    """Columns that tell the rows of a hot key apart (maps cannot be hashed)."""
+    return [name for name, kind in df.dtypes if "map<" not in kind]
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
