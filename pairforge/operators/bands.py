@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.operators.scaling import exact_quantiles
+from pairforge.operators.scaling import exact_quantiles, pick_quantiles, placed_values
 from pairforge.settings import ScoringSettings
 
 BAND_FLOOR = 1e-8
@@ -18,12 +18,10 @@ def scaled_mad(
     df: DataFrame, group: Sequence[str], value: str, factor: float = 1.4826
 ) -> DataFrame:
     """Median and scaled median absolute deviation per group, floored."""
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    medians = exact_quantiles(counted, group, value, {"center": 0.5}, weight="_n")
-    spread = counted.join(medians, list(group)).select(
-        *group, F.abs(F.col(value) - F.col("center")).alias("_dev"), "_n"
+    placed = placed_values(df, group, value)
+    medians = pick_quantiles(placed, group, {"center": 0.5})
+    spread = placed.join(medians, list(group)).select(
+        *group, F.abs(F.col("_value") - F.col("center")).alias("_dev"), "_n"
     )
     mads = exact_quantiles(spread, group, "_dev", {"_mad": 0.5}, weight="_n")
     return medians.join(mads, list(group)).select(
@@ -43,16 +41,15 @@ def class_statistics(
     measures = sources.select("label", "breadth", "depth").unpivot(
         ["label"], ["breadth", "depth"], "measure", "x"
     )
-    counted = measures.groupBy("label", "measure", "x").agg(F.count(F.lit(1)).alias("n"))
-    quantiles = exact_quantiles(
-        counted, ["label", "measure"], "x", {"center": 0.5, "low": 0.1, "high": 0.9}, weight="n"
-    )
+    keys = ["label", "measure"]
+    placed = placed_values(measures, keys, "x")
+    quantiles = pick_quantiles(placed, keys, {"center": 0.5, "low": 0.1, "high": 0.9})
     # Two labels times two measures: four rows.
-    spread = counted.join(F.broadcast(quantiles), ["label", "measure"]).select(
-        "label", "measure", F.abs(F.col("x") - F.col("center")).alias("dev"), "n"
+    spread = placed.join(F.broadcast(quantiles), keys).select(
+        *keys, F.abs(F.col("_value") - F.col("center")).alias("dev"), "_n"
     )
-    mads = exact_quantiles(spread, ["label", "measure"], "dev", {"mad": 0.5}, weight="n")
-    long = quantiles.join(mads, ["label", "measure"]).withColumn(
+    mads = exact_quantiles(spread, keys, "dev", {"mad": 0.5}, weight="_n")
+    long = quantiles.join(mads, keys).withColumn(
         "scale", F.greatest(F.lit(settings.mad_factor) * F.col("mad"), F.lit(SCALE_FLOOR))
     )
 

@@ -82,17 +82,14 @@ def running_totals(
     return joined.drop(*helpers)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probabilities: Mapping[str, float],
-    weight: str | None = None,
+def placed_values(
+    df: DataFrame, group: Sequence[str], value: str, weight: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one named column each.
+    """Distinct values per group with ``_n`` copies and ``_n_before`` smaller rows.
 
     Equal values are counted before the shuffle; NULL values are skipped. ``weight``
-    names an integer column of repetitions when rows are already counted.
+    names an integer column of repetitions when rows are already counted. The result
+    rests on a checkpoint, so several consumers do not repeat the input's work.
     """
     repeats = F.lit(1) if weight is None else F.col(weight)
     counted = (
@@ -100,7 +97,24 @@ def exact_quantiles(
         .groupBy(*group, F.col(value).cast("double").alias("_value"))
         .agg(F.sum(repeats).alias("_n"))
     )
-    placed = running_totals(counted, group, ["_value"], {"_n": F.col("_n")})
+    return running_totals(counted, group, ["_value"], {"_n": F.col("_n")})
+
+
+def exact_quantiles(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    weight: str | None = None,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, one named column each."""
+    return pick_quantiles(placed_values(df, group, value, weight), group, probabilities)
+
+
+def pick_quantiles(
+    placed: DataFrame, group: Sequence[str], probabilities: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles from ``placed_values``: the order statistics at the two nearest ranks."""
 
     def value_at(rank: Column) -> Column:
         inside = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
@@ -113,13 +127,12 @@ def exact_quantiles(
             value_at(F.floor(rank)).alias(f"_lo_{name}"),
             value_at(F.ceil(rank)).alias(f"_hi_{name}"),
         ]
-    picked = placed.groupBy(*group).agg(*picks)
     output = []
     for name, p in probabilities.items():
         rank = F.lit(p) * (F.col("_size") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         output.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
-    return picked.select(*group, *output)
+    return placed.groupBy(*group).agg(*picks).select(*group, *output)
 
 
 def mid_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -139,6 +152,27 @@ def mid_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def following_minimum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Minimum of ``value`` over the current and all later rows of the group's order."""
+    rows = slices(df, group, order)
+    later = Window.partitionBy(*group).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    tails = rows.groupBy(*group, "_slice").agg(F.min(value).alias("_low")).select(
+        *group, "_slice", F.min("_low").over(later).alias("_later")
+    )
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(
+        0, Window.unboundedFollowing
+    )
+    local = rows.withColumn("_local", F.min(value).over(inside))
+    # least() skips NULL, which marks the last slice of a group.
+    return (
+        local.join(tails, [*group, "_slice"])
+        .withColumn(name, F.least("_local", "_later"))
+        .drop("_slice", "_local", "_later")
+    )
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

@@ -1,6 +1,12 @@
 """Imports every query module, so that the registry is complete."""
 
-from workload import queries_pairs, queries_scoring  # noqa: F401
+from workload import (  # noqa: F401
+    queries_contracts,
+    queries_evaluation,
+    queries_pairs,
+    queries_scoring,
+    queries_text,
+)
 from workload.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from workload.sqlmetrics import EVALUATION_VIEWS
+
 MACROS = {
     "h(": lambda a: f"cast('0x' || substr(md5({a}), 1, 8) as bigint)",
     "u(": lambda a: f"((cast('0x' || substr(md5({a}), 1, 8) as bigint) % 10000) / 10000.0::double)",
@@ -208,6 +210,8 @@ VIEWS = {
           'Re' || word || '2', word]) as lemma from vocabulary where h('syn:' || word) % 3 <> 0""",
 }
 
+VIEWS |= EVALUATION_VIEWS
+
 
 def _expand(sql: str) -> str:
     """Replace the macros, innermost first."""
