@@ -1,6 +1,8 @@
 """Imports every query module, so that the registry is complete."""
 
 from workload import (  # noqa: F401
+    queries_audit,
+    queries_augment,
     queries_contracts,
     queries_evaluation,
     queries_pairs,

@@ -177,7 +177,7 @@ VIEWS = {
     "pairs": "select * from judged_pairs where worse and pair_margin >= 1.0",
     "audit": """select ['baseline', 'edit', 'prompt', 'paired'][ordinal % 4 + 1] as method,
           (h('s:' || source_id) % 5)::int as seed, source_id, source_id as source_row_index,
-          label as source_label, (ordinal // 4)::int as aug_round, cand_doc, bucket_name,
+          label as source_label, (ordinal // 4)::int as aug_round, ordinal, cand_doc, bucket_name,
           yz_pass, x_pass, yz_pass and x_pass as joint_pass, residual_cos, origin_cos,
           delta_y, delta_z, y_violate_low, y_violate_high, z_violate_low, z_violate_high,
           yz_violation_score, x_violation_score, yz_utilization from scored""",
@@ -211,6 +211,49 @@ VIEWS = {
 }
 
 VIEWS |= EVALUATION_VIEWS
+VIEWS |= {
+    "unit_vecs": """select vec_id, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec)))
+        as vec from vectors""",
+    "neighbours": """select q, ref_id, ref_label from (select a.vec_id as q,
+          s.source_id as ref_id, s.label as ref_label, row_number() over (partition by a.vec_id
+            order by round(1 - list_dot_product(a.vec, b.vec), 9), s.source_id) as rank
+        from unit_vecs a, sources s join unit_vecs b
+          on b.vec_id = s.source_id % (select n from n_vecs)) where rank <= 10""",
+    "label_rates": """select q, avg((ref_label <> 0)::int) as r0, avg((ref_label <> 1)::int) as r1
+        from neighbours group by q""",
+    "contamination": """select a.*, case source_label when 0 then r0 else r1 end as opposite_rate
+        from audit a join label_rates on q = a.cand_doc % (select n from n_vecs)""",
+    "points": """select vec_id as point_id, label, (h('f:' || vec_id) % 5)::int as fold,
+          vec[1] as dim1, vec[2] as dim2, case label when 0 then r0 else r1 end as value
+        from vectors join label_rates on q = vec_id""",
+    "coupling": """select method, seed, a / nullif(a + b, 0) as x_pass_within_yz_pass,
+          c / nullif(c + d, 0) as x_pass_within_yz_fail,
+          a / nullif(a + b, 0) - c / nullif(c + d, 0) as x_pass_difference,
+          (a * d - b * c) / nullif(sqrt((a + b) * (c + d) * (a + c) * (b + d)), 0) as phi
+        from (select method, seed, (count(*) filter (yz_pass and x_pass))::double as a,
+            (count(*) filter (yz_pass and not x_pass))::double as b,
+            (count(*) filter (not yz_pass and x_pass))::double as c,
+            (count(*) filter (not yz_pass and not x_pass))::double as d
+          from audit group by method, seed)""",
+    "directional": """select method, seed,
+          avg(y_violate_high + z_violate_high) filter (source_label = 1) as over_completion,
+          avg(y_violate_low + z_violate_low) filter (source_label = 0) as evidence_loss
+        from audit group by method, seed""",
+    "seed_residuals": """select method, seed, avg(residual_cos) as residual_similarity_mean,
+          stddev_samp(residual_cos) as residual_similarity_sd,
+          count(*) as residual_similarity_n from audit group by method, seed""",
+    "bridge": """select * from (select method, seed, avg(yz_pass::int) as yz_pass_rate,
+            avg(x_pass::int) as x_pass_rate, avg(joint_pass::int) as joint_pass_rate
+          from audit group by method, seed)
+        join coupling using (method, seed) join directional using (method, seed)
+        join seed_residuals using (method, seed)
+        join (select method, seed, avg(opposite_rate) as overall_contamination,
+            avg(opposite_rate) filter (source_label = 1) as one_to_zero_contamination,
+            avg(opposite_rate) filter (source_label = 0) as zero_to_one_contamination
+          from contamination group by method, seed) using (method, seed)
+        left join (select method, string_split(seed_group, '_')[-1]::int as seed, f1
+          from external_rows) using (method, seed)""",
+}
 
 
 def _expand(sql: str) -> str:

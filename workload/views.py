@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import letters_only
+from pairforge.operators.audit import bridge_table
 from pairforge.operators.bands import class_statistics, with_bands
 from pairforge.operators.coverage import breadth_depth, fuse_scores
+from pairforge.operators.metrics import AVERAGE
+from pairforge.operators.representation import knn_contamination
+from pairforge.operators.scaling import durable
+from pairforge.plans.evaluation import seed_detail
 from pairforge.plans.scoring import score_candidates
 
 METHODS = ("baseline", "edit", "prompt", "paired")
@@ -157,6 +162,7 @@ class Views:
             F.col("source_id").alias("source_row_index"),
             F.col("label").alias("source_label"),
             F.floor(F.col("ordinal") / 4).cast("int").alias("aug_round"),
+            "ordinal",
             "cand_doc",
             "bucket_name",
             "yz_pass",
@@ -175,6 +181,44 @@ class Views:
             "yz_utilization",
         )
 
+    def contamination(self) -> DataFrame:
+        """Audited candidates with the opposite-label rate of their neighbour sources."""
+        key = (F.col("source_id") * 100 + F.col("ordinal")).alias("query_id")
+        rows = self.audit.withColumn("query_id", key)
+        vecs = self.vectors.select("vec_id", "vec")
+        queries = (
+            self.candidate_keys.join(
+                self.sources.select("source_id", "label"), "source_id"
+            )
+            .select(key, "label", (F.col("cand_doc") % self.n_vecs).alias("vec_id"))
+            .join(vecs, "vec_id")
+        )
+        references = self.source_rows.select(F.col("source_id").alias("ref_id"), "vec", "label")
+        rates = knn_contamination(queries.drop("vec_id"), references)
+        return rows.join(rates, "query_id")
+
+    def points(self) -> DataFrame:
+        """Embeddings as 2-D points with a fold and their neighbours' opposite-label rate."""
+        queries = self.vectors.withColumnRenamed("vec_id", "query_id")
+        references = self.source_rows.select(F.col("source_id").alias("ref_id"), "vec", "label")
+        rates = knn_contamination(queries, references)
+        return queries.join(rates, "query_id").select(
+            F.col("query_id").alias("point_id"),
+            "label",
+            (h("f", F.col("query_id")) % 5).cast("int").alias("fold"),
+            F.element_at("vec", 1).alias("dim1"),
+            F.element_at("vec", 2).alias("dim2"),
+            F.col("opposite_rate").alias("value"),
+        )
+
+    def bridge(self) -> DataFrame:
+        detail = seed_detail(self.predictions, *EXTERNAL)
+        seed = F.substring_index("seed_group", "_", -1).cast("int")
+        utility = detail.where(F.col("dataset") == AVERAGE).select(
+            "method", seed.alias("seed"), "f1"
+        )
+        return durable(bridge_table(self.audit, self.contamination(), utility))
+
     @cached_property
     def predictions(self) -> DataFrame:
         """Every event predicted by 4 methods x 3 generation x 2 training seeds."""
