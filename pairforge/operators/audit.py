@@ -51,40 +51,44 @@ def file_audit(audit: DataFrame, group: Sequence[str] = FILE) -> DataFrame:
     return rates.join(named, list(group))
 
 
-def coupling(audit: DataFrame, group: Sequence[str] = FILE) -> DataFrame:
-    """How far passing one check depends on passing the other, with the phi coefficient."""
-
-    def cell(yz: bool, x: bool) -> Column:
+def _coupling_cells() -> list[Column]:
+    def cell(yz: bool, x: bool, name: str) -> Column:
         match = (F.col("yz_pass") == yz) & (F.col("x_pass") == x)
-        return F.count(F.when(match, 1)).cast("double")
+        return F.count(F.when(match, 1)).cast("double").alias(name)
 
-    cells = audit.groupBy(*group).agg(
-        cell(True, True).alias("_a"),
-        cell(True, False).alias("_b"),
-        cell(False, True).alias("_c"),
-        cell(False, False).alias("_d"),
-    )
+    return [cell(True, True, "_a"), cell(True, False, "_b"), cell(False, True, "_c"), cell(False, False, "_d")]
+
+
+def _coupling_columns() -> list[Column]:
     a, b, c, d = (F.col(n) for n in ("_a", "_b", "_c", "_d"))
     inside, outside = ratio(a, a + b), ratio(c, c + d)
     margin = F.sqrt((a + b) * (c + d) * (a + c) * (b + d))
-    return cells.select(
-        *group,
+    return [
         inside.alias("x_pass_within_yz_pass"),
         outside.alias("x_pass_within_yz_fail"),
         (inside - outside).alias("x_pass_difference"),
         ratio(a * d - b * c, margin).alias("phi"),
-    )
+    ]
 
 
-def directional_failure(audit: DataFrame, group: Sequence[str] = FILE) -> DataFrame:
-    """Upper-band severity of label 1 and lower-band severity of label 0."""
+def coupling(audit: DataFrame, group: Sequence[str] = FILE) -> DataFrame:
+    """How far passing one check depends on passing the other, with the phi coefficient."""
+    return audit.groupBy(*group).agg(*_coupling_cells()).select(*group, *_coupling_columns())
+
+
+def _severities() -> list[Column]:
     up = F.col("y_violate_high") + F.col("z_violate_high")
     down = F.col("y_violate_low") + F.col("z_violate_low")
     label = F.col("source_label")
-    return audit.groupBy(*group).agg(
+    return [
         F.avg(F.when(label == 1, up)).alias("over_completion"),
         F.avg(F.when(label == 0, down)).alias("evidence_loss"),
-    )
+    ]
+
+
+def directional_failure(audit: DataFrame, group: Sequence[str] = FILE) -> DataFrame:
+    """Upper-band severity of label 1 and lower-band severity of label 0."""
+    return audit.groupBy(*group).agg(*_severities())
 
 
 def method_summary(bridge: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,42 +148,37 @@ def residual_table(audit: DataFrame, group: Sequence[str] = ("method",)) -> Data
     return moments.join(exact_quantiles(audit, group, "residual_cos", cuts), list(group))
 
 
-def seed_residuals(audit: DataFrame) -> DataFrame:
-    return audit.groupBy(*FILE).agg(
+def _residual_moments() -> list[Column]:
+    return [
         F.avg("residual_cos").alias("residual_similarity_mean"),
         F.stddev_samp("residual_cos").alias("residual_similarity_sd"),
         F.count(F.lit(1)).alias("residual_similarity_n"),
-    )
+    ]
+
+
+def seed_residuals(audit: DataFrame) -> DataFrame:
+    return audit.groupBy(*FILE).agg(*_residual_moments())
 
 
-def contamination_by_seed(points: DataFrame) -> DataFrame:
-    """Overall and directional contamination per (method, seed)."""
+def _contamination_rates() -> list[Column]:
     rate, label = F.col("opposite_rate"), F.col("source_label")
-    return points.groupBy(*FILE).agg(
+    return [
         F.avg(rate).alias("overall_contamination"),
         F.avg(F.when(label == 1, rate)).alias("one_to_zero_contamination"),
         F.avg(F.when(label == 0, rate)).alias("zero_to_one_contamination"),
-    )
+    ]
 
 
-def bridge_table(audit: DataFrame, points: DataFrame, utility: DataFrame) -> DataFrame:
+def bridge_table(points: DataFrame, utility: DataFrame) -> DataFrame:
     """One row per (method, seed): audit rates, coupling, severity, contamination, utility.
 
-    ``utility(method, seed, f1)`` may miss seeds; their F1 stays NULL.
+    ``points`` are audited candidates with their ``opposite_rate``; one pass over them
+    feeds every column. ``utility(method, seed, f1)`` may miss seeds, whose F1 is NULL.
     """
-    rates = audit.groupBy(*FILE).agg(
-        share(F.col("yz_pass")).alias("yz_pass_rate"),
-        share(F.col("x_pass")).alias("x_pass_rate"),
-        share(F.col("joint_pass")).alias("joint_pass_rate"),
-    )
-    table = rates
-    for part in (
-        coupling(audit),
-        directional_failure(audit),
-        seed_residuals(audit),
-        contamination_by_seed(points),
-    ):
-        table = table.join(part, list(FILE))
+    rates = [share(F.col(c)).alias(f"{c}_rate") for c in ("yz_pass", "x_pass", "joint_pass")]
+    parts = [*rates, *_severities(), *_residual_moments(), *_contamination_rates()]
+    cells = points.groupBy(*FILE).agg(*parts, *_coupling_cells())
+    table = cells.select("*", *_coupling_columns()).drop("_a", "_b", "_c", "_d")
     return table.join(utility, list(FILE), "left")
 
 

@@ -37,10 +37,15 @@ def route_pool(
     )
 
 
-def deduplicate(candidates: DataFrame) -> DataFrame:
-    """Keep the first candidate (by ``ordinal``) per source and normalised text."""
+def deduplicate(candidates: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Keep the first candidate (by ``ordinal``) per source and normalised text.
+
+    Without ``keep_text`` only a digest of the text takes part in the shuffle.
+    """
     text = F.col("candidate_text")
     keyed = candidates.where(strip(text) != "").withColumn("_key", F.sha2(text_key(text), 256))
+    if not keep_text:
+        keyed = keyed.drop("candidate_text")
     return top_k(keyed, ["source_id", "_key"], [F.col("ordinal")], 1, "_first").drop(
         "_first", "_key"
     )
@@ -163,7 +168,7 @@ def align_pairs(ordered: DataFrame, settings: PairSettings = PairSettings()) ->
         return ordered.where(F.col("role") == role).select(
             "source_id",
             "pair_rank",
-            F.col("candidate_text").alias(f"{role}_text"),
+            F.col("ordinal").alias(f"{role}_ordinal"),
             F.col("yz_pass").alias(f"{role}_yz_pass"),
             F.col("bucket_name").alias(f"{role}_bucket"),
             F.col("prompt_type").alias(f"{role}_prompt_type"),
@@ -189,10 +194,34 @@ def align_pairs(ordered: DataFrame, settings: PairSettings = PairSettings()) ->
     return pairs.drop(*[c for c in pairs.columns if c.startswith("_")])
 
 
+def attach_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Fetch the texts of both sides from ``texts(source_id, ordinal, candidate_text)``.
+
+    Texts are shuffled once, for the few candidates that made it into a pair.
+    """
+    wanted = F.array(
+        *[
+            F.struct(F.lit(role).alias("role"), F.col(f"{role}_ordinal").alias("ordinal"))
+            for role in ("chosen", "rejected")
+        ]
+    )
+    long = pairs.select("source_id", "pair_rank", F.inline(wanted))
+    found = long.join(
+        texts.select("source_id", "ordinal", "candidate_text"), ["source_id", "ordinal"]
+    )
+    sides = found.groupBy("source_id", "pair_rank").agg(
+        *[
+            F.max(F.when(F.col("role") == role, F.col("candidate_text"))).alias(f"{role}_text")
+            for role in ("chosen", "rejected")
+        ]
+    )
+    return pairs.join(sides, ["source_id", "pair_rank"]).drop("chosen_ordinal", "rejected_ordinal")
+
+
 def hard_filter(scored: DataFrame, k: int = 2) -> DataFrame:
     """Best ``k`` candidates per source by bucket, then by the chosen order."""
     return top_k(
-        deduplicate(scored),
+        deduplicate(scored, keep_text=False),
         ["source_id"],
         [F.col("bucket_id"), *chosen_order(), F.col("ordinal")],
         k,

@@ -84,12 +84,21 @@ def nearest(
                     a = q.column(name).to_numpy()[start : start + 256]
                     same = a[:, None] == r.column(name).to_numpy()[None, :]
                     distance = np.where(same if equal else ~same, distance, np.inf)
-            order = np.argsort(np.round(distance, TIE_DIGITS), axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(distance, order, axis=1)
-            rows, places = np.nonzero(np.isfinite(best))
+            shown = np.round(distance, TIE_DIGITS)
+            if shown.shape[1] > k:
+                limit = np.partition(shown, k - 1, axis=1)[:, k - 1 : k]
+                rows, places = np.nonzero((shown <= limit) & np.isfinite(shown))
+            else:
+                rows, places = np.nonzero(np.isfinite(shown))
+            # Places ascend with ref_id, so a stable sort leaves ties in id order.
+            order = np.lexsort((places, shown[rows, places], rows))
+            rows, places = rows[order], places[order]
+            starts = np.searchsorted(rows, np.arange(len(part)))
+            first = np.arange(len(rows)) - starts[rows] < k
+            rows, places = rows[first], places[first]
             out_q.append(query_ids[start + rows])
-            out_r.append(ref_ids[order[rows, places]])
-            out_d.append(best[rows, places])
+            out_r.append(ref_ids[places])
+            out_d.append(distance[rows, places])
         return pa.table(
             {
                 "query_id": np.concatenate(out_q),

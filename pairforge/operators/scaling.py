@@ -10,17 +10,16 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; on a cluster a missing setting is an error.
+    Only a local session without one gets a temporary folder; on a cluster a missing
+    setting is an error, because executors need a shared place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,9 +28,24 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits; a scan with enough splits stays as it is.
+
+    For heavy per-row work right after a read. Pass a scan, not a shuffled result.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-partition by group and order, tag rows with ``_slice``, make durable.
 

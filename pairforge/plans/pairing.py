@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.operators.pairs import align_pairs, assign_roles, deduplicate, order_for_pairing
+from pairforge.operators.pairs import (
+    align_pairs,
+    assign_roles,
+    attach_texts,
+    deduplicate,
+    order_for_pairing,
+)
+from pairforge.operators.scaling import durable
 from pairforge.settings import PairSettings
 
 MINIMAL = ("anchor_text", "chosen_text", "rejected_text", "label")
 
 
 def build_pairs(
-    sources: DataFrame, scored: DataFrame, settings: PairSettings = PairSettings()
+    sources: DataFrame,
+    scored: DataFrame,
+    settings: PairSettings = PairSettings(),
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Aligned pairs of all sources; sources without candidates give none."""
-    roles = assign_roles(deduplicate(scored), settings)
-    pairs = align_pairs(order_for_pairing(roles, settings), settings)
+    """Aligned pairs of all sources; sources without candidates give none.
+
+    Ranking runs on scores alone. ``texts(source_id, ordinal, candidate_text)`` supplies
+    the texts of the winners; by default they come from ``scored``.
+    """
+    pool = durable(deduplicate(scored, keep_text=False))
+    slim = align_pairs(order_for_pairing(assign_roles(pool, settings), settings), settings)
+    pairs = attach_texts(durable(slim), scored if texts is None else texts)
     anchors = sources.select(
         "source_id", F.col("text1").alias("anchor_text"), F.col("label").cast("int").alias("label")
     )

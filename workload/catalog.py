@@ -7,6 +7,7 @@ from workload import (  # noqa: F401
     queries_evaluation,
     queries_pairs,
     queries_scoring,
+    queries_sources,
     queries_text,
 )
 from workload.registry import CHECK_SQL, QUERIES

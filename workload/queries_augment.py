@@ -74,7 +74,7 @@ def random_swap(v: Views):
 @query(
     "G4_random_deletion",
     f"""with kept as (select source_id, words, list_filter(words, lambda w, i:
-          unif('delete:{SEED}:' || source_id || ':delete:0:' || (i - 1)) > 0.1::double) as k
+          hexd('delete:{SEED}:' || source_id || ':delete:0', i) > '19999999') as k
         from {WORDS_SQL} where len(words) > 0),
       out as (select source_id, case when len(words) <= 1 then words when len(k) = 0 then
           [words[h('spare:{SEED}:' || source_id || ':delete:0') % len(words) + 1]] else k end as o
@@ -106,7 +106,7 @@ SPLIT_SQL = """list_filter(string_split(regexp_replace(trim(text1, e' \\t\\n\\r'
 @query(
     "G7_deletion_text",
     f"""with k as (select source_id, words, list_filter(words, lambda w, i:
-          unif('11:' || source_id || ':' || (i - 1)) >= 0.3::double) as kept
+          hexd('11:' || source_id, i) >= '4ccccccd') as kept
         from (select source_id, {SPLIT_SQL} as words from sources))
       select source_id, md5(case when len(kept) = 0 then
           words[h('spare:11:' || source_id) % len(words) + 1] else array_to_string(kept, ' ') end)
@@ -122,8 +122,7 @@ def deletion_text(v: Views):
 @query(
     "G8_deletion_negatives",
     f"""select source_id, repeat::int as repeat, label, n::int as n, md5(array_to_string(list_filter(
-        words, lambda w, i: unif('{SEED}:' || source_id || ':' || repeat || ':' || n || ':' || (i - 1))
-          >= 0.3::double), ' ')) as digest
+        words, lambda w, i: hexd('{SEED}:' || source_id || ':' || repeat || ':' || n, i) >= '4ccccccd'), ' ')) as digest
       from (select source_id, label, {SPLIT_SQL} as words from sources), range(0, 3) a(repeat),
         range(0, 3) b(n)""",
 )
@@ -199,7 +198,7 @@ TASKS = [(1, "Task one. {text}"), (0, "Task zero. {text}")]
 def preference(v: Views):
     templates = v.spark.createDataFrame(TASKS, "label int, template string")
     records = preference_records(
-        build_pairs(v.sources, v.scored(text=True)), templates, 3, strict=False
+        build_pairs(v.sources, v.scored(text=True), texts=v.candidates), templates, 3, strict=False
     )
 
     def last_text(column: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairforge.operators import pairs as P
+from pairforge.operators.scaling import durable
 from pairforge.plans.pairing import build_pairs
 from pairforge.settings import PoolSettings
 from workload.registry import query, rounded
@@ -38,7 +39,7 @@ def deduplicate(v: Views):
 
 @query("R3_chosen_order", "select source_id, ordinal, chosen_rank as role_rank from ranked where chosen_rank <= 6")
 def chosen_order(v: Views):
-    return P.rank_chosen(P.deduplicate(v.scored(text=True)), 6).select(
+    return P.rank_chosen(P.deduplicate(v.scored(text=True), keep_text=False), 6).select(
         "source_id", "ordinal", "role_rank"
     )
 
@@ -48,13 +49,13 @@ def chosen_order(v: Views):
     "select source_id, ordinal, rejected_order as role_rank from ranked where rejected_order <= 36",
 )
 def rejected_order(v: Views):
-    return P.rank_rejected(P.deduplicate(v.scored(text=True)), 36).select(
+    return P.rank_rejected(P.deduplicate(v.scored(text=True), keep_text=False), 36).select(
         "source_id", "ordinal", "role_rank"
     )
 
 
 def _roles(v: Views):
-    return P.assign_roles(P.deduplicate(v.scored(text=True)))
+    return P.assign_roles(durable(P.deduplicate(v.scored(text=True), keep_text=False)))
 
 
 @query("R5_roles", "select source_id, ordinal, role, role_rank from roles")
@@ -132,7 +133,7 @@ PAIR_COLUMNS = (
       from pairs p join sources s using (source_id)""",
 )
 def all_pairs(v: Views):
-    pairs = build_pairs(v.sources, v.scored(text=True))
+    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidates)
     return rounded(pairs.select(*PAIR_COLUMNS, "anchor_text", "chosen_text", "rejected_text"))
 
 

@@ -9,6 +9,7 @@ from pairforge.functions import text as X
 from pairforge.functions.chunking import chunks
 from pairforge.operators import prompts as Q
 from pairforge.operators import report as T
+from pairforge.operators.scaling import spread
 from workload.registry import query, rounded
 from workload.views import Views
 
@@ -163,7 +164,7 @@ def render_prompt(v: Views):
 @query("P10_chunk_texts")
 def chunk_texts(v: Views):
     pieces = F.posexplode(chunks(F.col("text"))).alias("chunk", "piece")
-    return v.table("documents").select("doc_id", pieces)
+    return spread(v.table("documents").select("doc_id", "text")).select("doc_id", pieces)
 
 
 @query(

@@ -10,7 +10,10 @@ MACROS = {
     "h(": lambda a: f"cast('0x' || substr(md5({a}), 1, 8) as bigint)",
     "u(": lambda a: f"((cast('0x' || substr(md5({a}), 1, 8) as bigint) % 10000) / 10000.0::double)",
     "r6(": lambda a: f"(floor(cast({a} as double) * 1e6 + 0.5137) / 1e6)",
-    "unif(": lambda a: f"(cast('0x' || substr(md5({a}), 1, 8) as bigint) / 4294967296.0::double)",
+    # hexd(key, i): eight hex digits of the draw at 1-based position i, four per digest
+    "hexd(": lambda a: "substr(md5({0} || ':' || (({1} - 1) // 4)), (({1} - 1) % 4) * 8 + 1, 8)".format(
+        *(part.strip() for part in a.rsplit(",", 1))
+    ),
 }
 
 # view -> SQL; a view may use any other view
@@ -290,8 +293,6 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     parts = [f"{name} as ({VIEWS[name]})" for name in ordered]
     if body.lower().startswith("with "):
-        body = body[5:]
-        if not parts:
-            return _expand("with " + body)
-        return _expand("with " + ",\n".join(parts) + ",\n" + body)
+        lead = "with recursive " if body.lower().startswith("with recursive ") else "with "
+        return _expand(lead + ",\n".join([*parts, body[len(lead) :]]))
     return _expand(("with " + ",\n".join(parts) + "\n" if parts else "") + body)

@@ -17,7 +17,7 @@ from pairforge.operators.bands import class_statistics, with_bands
 from pairforge.operators.coverage import breadth_depth, fuse_scores
 from pairforge.operators.metrics import AVERAGE
 from pairforge.operators.representation import knn_contamination
-from pairforge.operators.scaling import durable
+from pairforge.operators.scaling import durable, spread
 from pairforge.plans.evaluation import seed_detail
 from pairforge.plans.scoring import score_candidates
 
@@ -59,7 +59,9 @@ class Views:
     def sources(self) -> DataFrame:
         """Labelled documents; lang doubles as the cohort."""
         labels = self.table("labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-        docs = self.table("documents").select("doc_id", F.col("text").alias("text1"), "lang")
+        docs = spread(
+            self.table("documents").select("doc_id", F.col("text").alias("text1"), "lang")
+        )
         return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "source_id")
 
     @cached_property
@@ -91,7 +93,7 @@ class Views:
     def region_scores(self) -> DataFrame:
         region = F.col("region")
         return (
-            self.table("documents")
+            spread(self.table("documents").select("doc_id"))
             .select(
                 F.col("doc_id").alias("text_id"),
                 F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1))).alias("region"),
@@ -217,12 +219,12 @@ class Views:
         utility = detail.where(F.col("dataset") == AVERAGE).select(
             "method", seed.alias("seed"), "f1"
         )
-        return durable(bridge_table(self.audit, self.contamination(), utility))
+        return durable(bridge_table(self.contamination(), utility))
 
     @cached_property
     def predictions(self) -> DataFrame:
         """Every event predicted by 4 methods x 3 generation x 2 training seeds."""
-        event = self.table("events").select(
+        event = spread(self.table("events")).select(
             F.element_at(
                 F.array(F.lit("val"), F.lit("ext_a"), F.lit("ext_b")),
                 (F.col("user_id") % 3 + 1).cast("int"),
@@ -284,7 +286,9 @@ class Views:
         """Detection boxes: one per line item, grouped by order."""
         key = F.concat_ws(":", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
         x0, y0 = u("x", key) * 60, u("y", key) * 60
-        return self.table("lineitem").select(
+        return spread(
+            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        ).select(
             F.col("l_orderkey").alias("image_id"),
             F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("box_id"),
             x0.alias("x0"),
