@@ -38,7 +38,8 @@ def class_statistics(
 
     Both measures share every pass; equal values collapse before each shuffle.
     """
-    measures = sources.select("label", "breadth", "depth").unpivot(
+    binary = sources.where(F.col("label").isin(0, 1))
+    measures = binary.select("label", "breadth", "depth").unpivot(
         ["label"], ["breadth", "depth"], "measure", "x"
     )
     keys = ["label", "measure"]

@@ -126,8 +126,8 @@ def _suppress_large(boxes: DataFrame, max_iou: float) -> DataFrame:
         )
         probe = (
             remaining.select("image_id", F.struct(*BOX).alias("c"), *CORNERS, "ci", "cj")
-            .withColumn("ci", F.col("ci") + F.explode(steps))
-            .withColumn("cj", F.col("cj") + F.explode(steps))
+            .withColumn("ci", F.explode(F.transform(steps, lambda d: F.col("ci") + d)))
+            .withColumn("cj", F.explode(F.transform(steps, lambda d: F.col("cj") + d)))
             .withColumn("gx", cells_along("x0", "x1", "ci"))
             .withColumn("gy", cells_along("y0", "y1", "cj"))
             .drop(*CORNERS)

@@ -46,7 +46,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def slices(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Range-partition by group and order, tag rows with ``_slice``, make durable.
 
     Slices of a group follow its order: all rows of a lower slice come first. The
@@ -59,13 +59,13 @@ def slices(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFra
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     totals: Mapping[str, Column],
 ) -> DataFrame:
     """Exclusive running sums of ``totals`` in ``order`` within ``group``.
 
     Adds ``<name>_before`` and ``<name>_all`` (the group total) for every entry. The
-    order should be unique within the group; ties share no slice guarantee.
+    order should be unique within the group, or equal rows swap places at will.
     """
     for name, value in totals.items():
         df = df.withColumn(name, value)
@@ -211,11 +211,19 @@ def _hashable(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if "map<" not in kind]
 
 
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
-    """First ``k`` rows per group with their 1-based rank.
+    """First ``k`` rows per group with their 1-based rank. The order should be total.
 
     Spark prunes every map task to ``k`` rows per group before the shuffle, so a hot
-    group reaches its task with at most ``k`` rows per upstream partition.
+    group reaches its task with at most ``k`` rows per upstream partition. Beyond the
+    size Spark prunes for, rows are ranked over range slices instead.
     """
+    if k > GROUP_LIMIT:
+        placed = running_totals(df, group, order, {"_one": F.lit(1)})
+        ranked = placed.withColumn(rank, (F.col("_one_before") + 1).cast("int"))
+        return ranked.where(F.col(rank) <= k).drop("_one", "_one_before", "_one_all")
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
