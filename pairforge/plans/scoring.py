@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairforge.functions.vectors import cosine
 from pairforge.operators.bands import class_statistics, evaluate_candidates, with_bands
 from pairforge.operators.residual import fit_projection, residual_cosine
-from pairforge.operators.scaling import salted_join
+from pairforge.operators.scaling import durable, salted_join
 from pairforge.settings import ScoringSettings
 
 
@@ -25,8 +25,10 @@ def score_candidates(
     salted because one source may own a large share of the candidates. Source columns
     in ``carry`` (such as the text) travel along.
     """
-    projection = fit_projection(sources)
-    banded = with_bands(sources, class_statistics(sources, settings), settings)
+    # Read three times below; its coverage may rest on an aggregate over all regions.
+    base = durable(sources.select("source_id", "label", "breadth", "depth", "vec", *carry))
+    projection = fit_projection(base)
+    banded = with_bands(base, class_statistics(base, settings), settings)
     side = banded.select(
         "source_id",
         "label",

@@ -262,12 +262,19 @@ def report_cells(v: Views):
           '(?i)(?:/home/[^/\\s"'']+/|[a-z]:[\\\\/]users[\\\\/])')
         union all select 'credential_literal' from documents where regexp_matches(text,
           '(?i)(?:api[_-]?key|access[_-]?token|secret|password)\\s*=\\s*["''][^"'']+["'']')
-        union all select 'address' from documents where regexp_matches(text, '[a-z]+@[a-z]+'))
+        union all select 'token_literal' from documents
+          where regexp_matches(text, 'token\\s*=\\s*"[^"]+"')
+        union all select 'address' from documents
+          where regexp_matches(text, '[a-z0-9]+@[a-z0-9]+'))
       select case rule when 'address' then 'WARNING' else 'ERROR' end as severity, rule,
         count(*) as n from found group by all""",
 )
 def rule_scan(v: Views):
-    rules = {**Q.RULES, "address": ("WARNING", r"[a-z]+@[a-z]+")}
+    rules = {
+        **Q.RULES,
+        "token_literal": ("ERROR", r"token\s*=\s*\"[^\"]+\""),
+        "address": ("WARNING", "[a-z0-9]+@[a-z0-9]+"),
+    }
     return Q.severity_totals(Q.rule_scan(v.table("documents"), "doc_id", "text", rules))
 
 
