@@ -26,7 +26,6 @@ HEADLINE = (
     "M1_confusion_metrics",
     "M10_seed_summary",
     "B2_replicate_metrics",
-    "B5_paired_contrasts",
     "B8_effect_table",
     "A7_knn_contamination",
     "A22_bridge_table",
