@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import byte_pair, language_id, secret_scans, toxicity
+from pairforge.llm import byte_pair, language_id, minhash_dedup, packing, secret_scans, toxicity
 from pairforge.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder("doc_id", 5) == 0)
     model = toxicity.fit(docs, toxic_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in windows of 4096."""
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))

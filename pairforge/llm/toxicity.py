@@ -23,6 +23,7 @@ TERMS = 512  # words and word beginnings that the classifier knows
 VOTERS = 96  # of these, those that vote
 SUPPORT = 0.03  # least share of the label-1 rows that show a term, so that one copied text brings none
 BEGINNINGS = (3, 4, 5)
+ODDS = 3.0  # least log ratio of a term's frequency under label 1 to that under label 0
 DEPENDENT = 0.3  # least correlation that is taken for a dependence between voters
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -79,7 +80,7 @@ def mine_terms(sample: DataFrame, label: str, most: int = TERMS, text_column: st
     best = (
         counted.groupBy("term")
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .where((F.col("pos") >= max(3.0, SUPPORT * pos)) & (odds > 1.5))
+        .where((F.col("pos") >= max(3.0, SUPPORT * pos)) & (odds > ODDS))
         .orderBy(F.desc(odds * F.sqrt("pos")), "term")
         .limit(most)
     )
@@ -108,24 +109,25 @@ class Features:
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """Posterior of label 1 for each row of ``votes`` (1, -1, and 0 for no vote).
 
-    Each voter has its own rates of voting under either label. Rates come from expectation
+    Each voter has its own rates of voting under either label; not voting tells nothing,
+    since most voters know one language only. Rates come from expectation
     maximisation, started at the votes' balance; the weight of a voter in a posterior is
     one over the sum of its correlations of ``DEPENDENT`` or more with all voters, within
     what is believed of the label, so that near-copies of a voter count once together.
     """
     spoken = np.clip(votes.sum(axis=1), -3, 3)
     belief = np.where(spoken > 0, 0.9, np.where(spoken < 0, 0.02, prior))
-    states = [(votes == v).astype(np.float64) for v in (1, 0, -1)]
+    states = [(votes == v).astype(np.float64) for v in (1, -1)]
     weight = np.ones(votes.shape[1])
     for turn in range(rounds):
         mass = (belief.sum() + 1.0, (1 - belief).sum() + 1.0)
         rate = [[(s.T @ b + 0.1) / (m + 0.2) for s in states] for b, m in zip((belief, 1 - belief), mass)]
         if turn % 10 == 0:
-            mean = [r[0] - r[2] for r in rate]
+            mean = [r[0] - r[1] for r in rate]
             rest = votes - np.outer(belief, mean[0]) - np.outer(1 - belief, mean[1])
             spread = rest.T @ rest / len(votes)
             scale = np.sqrt(np.maximum(np.diag(spread), 1e-6))
-            linked = np.abs(spread / np.outer(scale, scale))
+            linked = spread / np.outer(scale, scale)
             weight = 1.0 / np.maximum(1.0, np.where(linked >= DEPENDENT, linked, 0).sum(axis=1))
         evidence = sum(s @ (weight * (np.log(p) - np.log(q))) for s, p, q in zip(states, rate[0], rate[1]))
         share = min(max(prior, 1e-4), 1 - 1e-4)
