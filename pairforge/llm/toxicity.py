@@ -24,7 +24,7 @@ VOTERS = 96  # of these, those that vote
 SUPPORT = 0.03  # least share of the label-1 rows that show a term, so that one copied text brings none
 BEGINNINGS = (3, 4, 5)
 ODDS = 3.0  # least log ratio of a term's frequency under label 1 to that under label 0
-DEPENDENT = 0.3  # least correlation that is taken for a dependence between voters
+DEPENDENT = 0.7  # least correlation that is taken for a dependence between voters
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _MARKS = re.compile(r"[!?]{2,}")
@@ -112,8 +112,9 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
     Each voter has its own rates of voting under either label; not voting tells nothing,
     since most voters know one language only. Rates come from expectation
     maximisation, started at the votes' balance; the weight of a voter in a posterior is
-    one over the sum of its correlations of ``DEPENDENT`` or more with all voters, within
-    what is believed of the label, so that near-copies of a voter count once together.
+    one over the sum of its correlations of ``DEPENDENT`` or more with all voters, in who
+    votes where and within what is believed of the label, so that near-copies of a voter
+    count once together.
     """
     spoken = np.clip(votes.sum(axis=1), -3, 3)
     belief = np.where(spoken > 0, 0.9, np.where(spoken < 0, 0.02, prior))
@@ -123,8 +124,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
         mass = (belief.sum() + 1.0, (1 - belief).sum() + 1.0)
         rate = [[(s.T @ b + 0.1) / (m + 0.2) for s in states] for b, m in zip((belief, 1 - belief), mass)]
         if turn % 10 == 0:
-            mean = [r[0] - r[1] for r in rate]
-            rest = votes - np.outer(belief, mean[0]) - np.outer(1 - belief, mean[1])
+            spoke = [r[0] + r[1] for r in rate]
+            rest = np.abs(votes) - np.outer(belief, spoke[0]) - np.outer(1 - belief, spoke[1])
             spread = rest.T @ rest / len(votes)
             scale = np.sqrt(np.maximum(np.diag(spread), 1e-6))
             linked = spread / np.outer(scale, scale)
