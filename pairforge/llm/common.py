@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and total counts of several (keys, counts)."""
+    found, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(found))
+    return found, counts.astype(np.int64)
+
+
+def signed(digest: int) -> int:
+    """An unsigned 64-bit digest as the signed integer that Spark holds."""
+    return digest - (1 << 64) if digest >> 63 else digest

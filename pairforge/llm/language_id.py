@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import map_columns
+from pairforge.llm.common import map_columns, summed
 
 SIZE = 300  # n-grams in a profile
 LANGUAGES = 5000  # most languages a table of profiles may hold
@@ -92,7 +92,7 @@ def learn_profiles(docs: DataFrame, size: int = SIZE, text_column: str = "text",
         held: dict[str, list] = {}
 
         def emptied():
-            rows = [(lang, *_summed(parts)) for lang, parts in held.items()]
+            rows = [(lang, *summed(parts)) for lang, parts in held.items()]
             held.clear()
             langs = [lang for lang, found, _ in rows for _ in range(len(found))]
             return langs, *[np.concatenate([r[i] for r in rows]).tolist() if rows else [] for i in (1, 2)]
@@ -104,7 +104,7 @@ def learn_profiles(docs: DataFrame, size: int = SIZE, text_column: str = "text",
                 own = grams(" ".join(t for t, x in zip(texts, langs) if x == lang and t))
                 held.setdefault(lang, []).append(np.unique(own, return_counts=True))
                 if len(held[lang]) > 16:
-                    held[lang] = [_summed(held[lang])]
+                    held[lang] = [summed(held[lang])]
             if sum(len(p[0]) for parts in held.values() for p in parts) > _FLUSH:
                 return emptied()
             return [], [], []
@@ -125,12 +125,6 @@ def learn_profiles(docs: DataFrame, size: int = SIZE, text_column: str = "text",
     return rows
 
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    found, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(found))
-    return found, counts.astype(np.int64)
-
-
 def identify(
     docs: DataFrame, rows: list, keep: Sequence[str | Column] = ("doc_id",), text_column: str = "text", size: int = SIZE
 ) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import map_columns, stored
+from pairforge.llm.common import map_columns, signed, stored
 from pairforge.llm.components import components
 
 WORDS = 5
@@ -95,7 +95,7 @@ def near_duplicates(
             for text in texts:
                 found = shingles(text)
                 sizes.append(len(found))
-                nodes.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)) if len(found) else None)
+                nodes.append(signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else None)
                 signatures.append(signature(found, coordinates) if len(found) else None)
             return ids, sizes, nodes, signatures
 
@@ -103,8 +103,8 @@ def near_duplicates(
 
     kind = dict(docs.dtypes)[id_column]
     schema = f"id {kind}, n_shingles bigint, node bigint, signature array<bigint>"
-    signed = stored(map_columns(docs, [id_column, text_column], build, schema))
-    full = signed.where(F.col("node").isNotNull())
+    read = stored(map_columns(docs, [id_column, text_column], build, schema))
+    full = read.where(F.col("node").isNotNull())
     classes = stored(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
     postings = _postings(classes, coordinates, least_matches)
     links = _links(docs, id_column, text_column, classes, postings, likeness, least_matches)
@@ -118,7 +118,7 @@ def near_duplicates(
         named.join(labels.select("label").distinct(), "label", "left_semi").where(F.col("label") == F.col("node"))
     ).groupBy("label").agg(F.min("id").alias("least"))
     component = named.join(least, "label", "left").select("node", F.coalesce("least", "id").alias("component_id"))
-    alone = signed.where(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
+    alone = read.where(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
     grouped = full.select("id", "n_shingles", "node").join(component, "node").select("id", "n_shingles", "component_id")
     return grouped.unionByName(alone).select(
         F.col("id").alias(id_column),
@@ -188,7 +188,7 @@ def _confirmed(docs, id_column, text_column, classes, pairs, likeness) -> DataFr
     def build():
         def step(texts):
             found = [shingles(t) for t in texts]
-            return [xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 64 if (xxhash.xxh3_64_intdigest(f.tobytes()) >> 63) else 0) for f in found], [f.tobytes() for f in found]
+            return [signed(xxhash.xxh3_64_intdigest(f.tobytes())) for f in found], [f.tobytes() for f in found]
 
         return step
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import byte_pair, language_id, minhash_dedup, packing, secret_scans, toxicity
+from pairforge.llm import byte_pair, language_id, lm_scoring, minhash_dedup, packing, secret_scans, toxicity
 from pairforge.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability, learned from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder("doc_id", 10) == 0)
+    docs = docs.withColumn("training", ~F.col("held_out"))
+    return lm_scoring.score_texts(docs).withColumn("held_out", id_remainder("doc_id", 10) == 0)

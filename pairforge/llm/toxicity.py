@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: lexicon voters (one per word or word beginning), and
-pattern voters (shouting, exclamation, no hit at all). A generative model of the votes
+pattern voters (shouting and exclamation, no hit at all). A generative model of the votes
 estimates each voter's accuracy by expectation maximisation and discounts voters that vote
 together. A linear classifier is then trained on the posterior labels and scores texts.
 """
@@ -28,7 +28,7 @@ DEPENDENT = 0.7  # least correlation that is taken for a dependence between vote
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
 _MARKS = re.compile(r"[!?]{2,}")
-PATTERNS = ("shouting", "marks", "no_hit")
+PATTERNS = ("shouting", "no_hit")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -102,7 +102,7 @@ class Features:
         whole = words & self.whole
         starts = {t for n, known in self.starts.items() if known for t in {w[:n] + "~" for w in words if len(w) > n} & known}
         found = [self.number[t] for t in whole | starts]
-        shown = (len(_SHOUT.findall(text or "")) >= 3, bool(_MARKS.search(text or "")), not found)
+        shown = (len(_SHOUT.findall(text or "")) >= 3 or bool(_MARKS.search(text or "")), not found)
         return sorted(found) + [len(self.terms) + i for i, x in enumerate(shown) if x]
 
 
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
                 votes[i, f] = 1
             elif f >= len(terms):
                 pattern = f - len(terms)
-                votes[i, pattern - len(PATTERNS)] = 1 if pattern < 2 else -1
+                votes[i, pattern - len(PATTERNS)] = -1 if PATTERNS[pattern] == "no_hit" else 1
     drawn = min(pos, bound / 2) / (min(pos, bound / 2) + min(neg, bound / 2))
     posterior = label_model(votes, drawn)
     return {"terms": terms, "weights": linear_classifier(rows, known.size, posterior).tolist()}
