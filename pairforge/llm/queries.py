@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import byte_pair, language_id, lm_scoring, minhash_dedup, packing, secret_scans, toxicity
+from pairforge.llm import (
+    byte_pair,
+    fingerprints,
+    html_extraction,
+    language_id,
+    lm_scoring,
+    minhash_dedup,
+    packing,
+    pivot_dedup,
+    secret_scans,
+    toxicity,
+)
 from pairforge.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +112,22 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder("doc_id", 10) == 0)
     docs = docs.withColumn("training", ~F.col("held_out"))
     return lm_scoring.score_texts(docs).withColumn("held_out", id_remainder("doc_id", 10) == 0)
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extraction.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return pivot_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
