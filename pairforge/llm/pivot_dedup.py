@@ -150,8 +150,10 @@ def _compared(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
                 if (p := root(x)) != (q := root(y)):
                     parent[max(p, q)] = min(p, q)
                     found.append((x, y))
-        used = [(k, v, None) for k, v in links.items() if v] + [(x, 0, y) for x, y in found]
-        return pd.DataFrame(used, columns=["node", "links", "other"]).astype({"node": "int64", "links": "int64", "other": "Int64"})
+        nodes = [k for k, v in links.items() if v] + [x for x, _ in found]
+        sums = [v for v in links.values() if v] + [0] * len(found)
+        others = pd.array([None] * (len(nodes) - len(found)) + [y for _, y in found], dtype="Int64")
+        return pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "links": np.array(sums, dtype=np.int64), "other": others})
 
     result = stored(grouped.groupBy("pivot", "low", "high").applyInPandas(compare, "node bigint, links bigint, other bigint"))
     counts = result.groupBy("node").agg(F.sum("links").alias("links"))
