@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -25,7 +27,8 @@ from pairforge.llm.common import map_columns, stored
 
 WINDOW = 4096
 GROUP = 2048  # rests that one task packs greedily together, about
-KEPT = 400_000
+KEPT = 800_000  # chunks and words kept per task
+_STOPPED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
 class Encoder:
@@ -49,9 +52,12 @@ class Encoder:
         if len(self.known) > KEPT:
             self.known.clear()
         split = [_chunks(t or "") for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        for chunk, coded in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
+        new = {c: _parts(c) for chunks in split for c in chunks if c not in self.known}
+        missing = list({p for parts in new.values() for p in parts if p not in self.known})
+        for part, coded in zip(missing, self.coder.encode_batch_fast(missing, add_special_tokens=False)):
+            self.known[part] = array("I", coded.ids).tobytes()
+        for chunk, parts in new.items():
+            self.known[chunk] = b"".join(map(self.known.__getitem__, parts))
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
@@ -66,6 +72,15 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
+def _parts(chunk: str) -> tuple[str, ...]:
+    """A word and the stops behind it, which the pattern splits; plain words in lower case."""
+    m = _STOPPED.fullmatch(chunk)
+    if m is None or not m[1].lower().isalpha():  # a lower-case form may end in a mark that joins the stops
+        return (chunk.lower(),) if chunk.isascii() and chunk.isalpha() else (chunk,)
+    word = m[1].lower() if m[1].isascii() else m[1]
+    return (word, m[2])
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
