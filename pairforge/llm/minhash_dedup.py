@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ COORDINATES = 48
 MATCHES = 28  # a pair of likeness 0.85 has fewer with probability under one in 100,000
 LIKENESS = 85  # in hundredths
 KEPT = 400_000
+SMALL = 32  # longest list whose pairs are formed by a plain join
+BLOCK = 512  # rows of a longer list that are compared at once
 BROADCAST = 1_000_000  # most ids that are sent to all executors
 
 
@@ -105,7 +108,7 @@ def near_duplicates(
     schema = f"id {kind}, n_shingles bigint, node bigint, signature array<bigint>"
     read = stored(map_columns(docs, [id_column, text_column], build, schema))
     full = read.where(F.col("node").isNotNull())
-    classes = stored(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
+    classes = stored(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
     postings = _postings(classes, coordinates, least_matches)
     links = _links(docs, id_column, text_column, classes, postings, likeness, least_matches)
     labels = components(links)
@@ -154,21 +157,58 @@ def _links(docs, id_column, text_column, classes, postings, likeness, least_matc
     links = stored(_confirmed(docs, id_column, text_column, classes, first, likeness))
     labels = components(links)
     marked = postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_ = stored(marked.join(mixed.select("token"), "token"))
-    other = open_.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
+    mixed = marked.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).cast("int").alias("rows")
+    ).where("low < high")
+    open_ = stored(marked.join(mixed.select("token", "rows"), "token"))
+    few = open_.where(F.col("rows") <= SMALL)
+    other = few.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
     across = (
-        open_.select("token", F.col("node").alias("a"), "label")
-        .join(other, "token")
-        .where("label <> label_b and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
+        few.select("token", F.col("node").alias("a"), "label").join(other, "token").where("label <> label_b and a < b").select("a", "b").distinct()
     )
-    second = stored(_agreeing(across, classes, least_matches))
+    crowded = _within_lists(open_.where(F.col("rows") > SMALL), postings, classes, likeness, least_matches)
+    found = _agreeing(across, classes, least_matches).unionByName(crowded).distinct()
+    second = stored(found.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     return links.unionByName(stored(_confirmed(docs, id_column, text_column, classes, second, likeness)))
 
 
+def _within_lists(rows: DataFrame, postings: DataFrame, classes: DataFrame, likeness: int, least_matches: int) -> DataFrame:
+    """Agreeing pairs across the components of long lists, each in the first list of both.
+
+    A list is cut into blocks and every pair of blocks compared in a task of its own, so
+    only pairs that agree leave the tasks.
+    """
+    own = postings.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("own"))
+    full = rows.join(own, "node").join(classes.select("node", "signature", "n"), "node")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    spread = full.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+    )
+    grouped = spread.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        token, low, high = (int(group[c].iloc[0]) for c in ("token", "low", "high"))
+        left, right = group[group["block"] == low], group[group["block"] == high]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            signatures = [np.stack(side["signature"].to_numpy()) for side in (left, right)]
+            matches = np.zeros((len(left), len(right)), dtype=np.uint8)
+            for k in range(signatures[0].shape[1]):
+                matches += signatures[0][:, k, None] == signatures[1][None, :, k]
+            labels = [side["label"].to_numpy() for side in (left, right)]
+            sizes = [side["n"].to_numpy() for side in (left, right)]
+            fits = 100 * np.minimum(sizes[0][:, None], sizes[1]) >= likeness * np.maximum(sizes[0][:, None], sizes[1])
+            nodes = [side["node"].to_numpy() for side in (left, right)]
+            posted = [side["own"].to_numpy() for side in (left, right)]
+            for i, j in zip(*np.nonzero((matches >= least_matches) & (labels[0][:, None] != labels[1]) & fits)):
+                a, b = int(nodes[0][i]), int(nodes[1][j])
+                if (low != high or a < b) and np.intersect1d(posted[0][i], posted[1][j])[0] == token:
+                    out.append((min(a, b), max(a, b)))
+        return pd.DataFrame({"a": np.array([x for x, _ in out], dtype=np.int64), "b": np.array([y for _, y in out], dtype=np.int64)})
+
+    return grouped.groupBy("token", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, least_matches: int) -> DataFrame:
     """Pairs whose signatures agree in enough coordinates."""
     a = classes.select(F.col("node").alias("a"), F.col("signature").alias("of_a"))
