@@ -140,7 +140,7 @@ def validate_run_manifest(
         ("training_mode", mode, TRAINING_MODES),
         ("shuffle_source", shuffle, SHUFFLE_SOURCES),
     ):
-        bad = manifest.select(value.alias("subject")).where(~F.col("subject").isin(*allowed))
+        bad = manifest.select(F.coalesce(value, F.lit("")).alias("subject")).where(~F.col("subject").isin(*allowed))
         parts.append(bad.distinct().select(F.lit(check).alias("check"), "subject"))
     result = parts[0]
     for part in parts[1:]:
@@ -154,14 +154,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def firewall(rows: DataFrame, declared: str, column: str = "dataset_role") -> DataFrame:
-    """Roles that must not take part in selection: forbidden or other than declared."""
+    """Roles that must not take part in selection: forbidden or other than declared.
+
+    A missing role counts as the empty one, which is unsupported.
+    """
     role = F.col("role")
     kind = (
         F.when(role.isin(*FORBIDDEN_ROLES), "external")
         .when(~role.isin(*ALLOWED_ROLES), "unsupported")
         .when(role != declared, "undeclared")
     )
-    counted = rows.groupBy(role_name(F.col(column)).alias("role")).agg(
+    counted = rows.groupBy(F.coalesce(role_name(F.col(column)), F.lit("")).alias("role")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counted.withColumn("violation", kind).where(F.col("violation").isNotNull())

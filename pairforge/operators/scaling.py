@@ -56,6 +56,13 @@ def slices(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -
     return durable(spread.withColumn("_slice", F.spark_partition_id()))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns where NULL equals NULL, so that NULL groups stay."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
+    return left.join(named, same).drop(*[f"_right_{c}" for c in on])
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
@@ -87,7 +94,7 @@ def running_totals(
     local = rows.select(
         "*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_{n}_local") for n in totals]
     )
-    joined = local.join(offsets, [*group, "_slice"])
+    joined = null_safe_join(local, offsets, [*group, "_slice"])
     helpers = ["_slice", *[f"_{n}_{p}" for n in totals for p in ("offset", "local")]]
     for name in totals:
         joined = joined.withColumn(
@@ -181,7 +188,7 @@ def following_minimum(
     local = rows.withColumn("_local", F.min(value).over(inside))
     # least() skips NULL, which marks the last slice of a group.
     return (
-        local.join(tails, [*group, "_slice"])
+        null_safe_join(local, tails, [*group, "_slice"])
         .withColumn(name, F.least("_local", "_later"))
         .drop("_slice", "_local", "_later")
     )

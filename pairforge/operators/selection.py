@@ -44,8 +44,11 @@ def select_checkpoint(
 ) -> DataFrame:
     """Best checkpoint: primary, then secondary, then earliest epoch, then largest name.
 
-    Any row of a forbidden or undeclared role fails the whole selection.
+    Any row of a forbidden, undeclared or missing role fails the whole selection. The role
+    and metric arguments may be written in any case.
     """
+    role, primary = role.strip().lower(), primary.strip().lower()
+    secondary = secondary.strip().lower() if secondary else None
     metrics = normalized_metrics(rows)
     if check:
         if role not in ALLOWED_ROLES:

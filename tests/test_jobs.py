@@ -202,3 +202,10 @@ def test_file_manifest(spark, tmp_path):
     assert {r["path"] for r in found.collect()} == {"a.txt", "sub/b.txt"}
     recorded = found.select("path", F.when(F.col("path") == "a.txt", "0").otherwise(F.col("sha256")).alias("sha256"))
     assert [tuple(r)[:2] for r in files.verify_manifest(recorded, found).collect()] == [("a.txt", "0")]
+
+
+def test_missing_role_fails_the_selection(spark):
+    rows = [("a", 1, "cv_validation", "accuracy", 0.5), ("b", 2, None, "accuracy", 0.9)]
+    with pytest.raises(Exception, match="other roles"):
+        S.select_checkpoint(metric_rows(spark, rows), "cv_validation", "accuracy")
+    assert S.select_checkpoint(metric_rows(spark, rows[:1]), " CV_Validation", "Accuracy").first()["checkpoint"] == "a"

@@ -71,3 +71,14 @@ def test_large_k_is_exact_without_one_task_per_group(spark):
     for group in (0, 1):
         values = sorted(((i * 7919) % 5003 for i in range(5000) if i % 2 == group), reverse=True)[:1500]
         assert sorted((r["r"], r["x"]) for r in out if r["g"] == group) == list(enumerate(values, 1))
+
+
+def test_null_groups_stay_on_both_sides_of_the_group_limit(spark):
+    rows = [(None if i % 3 == 0 else "g", float(i * 7 % 31), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double, i int")
+    order = [F.desc("v"), F.asc("i")]
+    few = {tuple(r) for r in S.top_k(df, ["g"], order, S.GROUP_LIMIT, "rank").collect()}
+    many = {tuple(r) for r in S.top_k(df, ["g"], order, S.GROUP_LIMIT + 1, "rank").select("g", "v", "i", "rank").collect()}
+    assert few == many and len(few) == 60
+    medians = {r.g: r.q for r in S.exact_quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
+    assert set(medians) == {None, "g"}
