@@ -82,12 +82,15 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return total
+            return total
+    raise ArithmeticError("the incomplete beta function did not converge")
+
+
+NEAR_NORMAL = 10_000.0  # degrees of freedom above which a normal expansion is exact enough
 
 
 def student_tail(t: float | None, dof: float | None) -> float | None:
-    from math import exp, isinf, lgamma, log, log1p
+    from math import erfc, exp, isinf, lgamma, log, log1p, sqrt
 
     if t is None or dof is None or dof <= 0:
         return None
@@ -95,6 +98,10 @@ def student_tail(t: float | None, dof: float | None) -> float | None:
         return 0.0
     if t == 0.0:
         return 1.0
+    if dof > NEAR_NORMAL:
+        a = dof - 0.5
+        z = sqrt(a * log1p(t * t / dof))
+        return erfc((z + (z**3 + 3.0 * z) / (48.0 * a * a)) / sqrt(2.0))
     x = dof / (dof + t * t)
     a, b = dof / 2.0, 0.5
     if x >= 1.0:

@@ -30,9 +30,16 @@ def suppress(
     """Boxes scoring above ``min_score`` that survive suppression per image.
 
     Scores sort descending, equal scores by ``box_id``; a box goes when its overlap with
-    a kept better box exceeds ``max_iou``.
+    a kept better box exceeds ``max_iou``, which must lie in (0, 1]. Boxes without area
+    (flat, inverted or with an unknown corner) overlap nothing and stay.
     """
-    boxes = detections.where(F.col("score") > min_score).select(*BOX)
+    if not 0.0 < max_iou <= 1.0:
+        raise ValueError("max_iou must lie in (0, 1]")
+    scored = detections.where(F.col("score") > min_score).select(*BOX)
+    if max_iou == 1.0:  # no overlap exceeds it
+        return scored
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
+    flat, boxes = scored.where(~solid), scored.where(solid)
     # Copies of one box: only the best can survive, the rest overlap it fully.
     boxes = top_k(
         boxes, ["image_id", *CORNERS], [F.col("score").desc(), F.col("box_id")], 1, "_copy"
@@ -42,10 +49,11 @@ def suppress(
     large = sizes.where(F.col("_n") > group_limit).select("image_id")
     total = boxes.count()
     if large.isEmpty():
-        return _suppress_small(boxes, max_iou, total)
+        return _suppress_small(boxes, max_iou, total).unionByName(flat)
     small = boxes.join(large, "image_id", "left_anti")
     hot = boxes.join(large, "image_id", "left_semi")
-    return _suppress_small(small, max_iou, total).unionByName(_suppress_large(hot, max_iou))
+    kept = _suppress_small(small, max_iou, total).unionByName(_suppress_large(hot, max_iou))
+    return kept.unionByName(flat)
 
 
 def _suppress_small(boxes: DataFrame, max_iou: float, total: int) -> DataFrame:
@@ -102,11 +110,9 @@ def _suppress_large(boxes: DataFrame, max_iou: float) -> DataFrame:
     # Overlapping boxes differ in width (and height) by less than a factor 1 / max_iou.
     reach = ceil(log2(1.0 / max_iou))
     width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    flat = (width <= 0) | (height <= 0)
-    kept = boxes.where(flat)
+    kept = boxes.limit(0)
     remaining = durable(
-        boxes.where(~flat)
-        .withColumn("ci", F.floor(F.log2(width)).cast("int"))
+        boxes.withColumn("ci", F.floor(F.log2(width)).cast("int"))
         .withColumn("cj", F.floor(F.log2(height)).cast("int"))
         .withColumn("gx", F.floor((F.col("x0") + F.col("x1")) / 2 / F.pow(F.lit(2.0), "ci")))
         .withColumn("gy", F.floor((F.col("y0") + F.col("y1")) / 2 / F.pow(F.lit(2.0), "cj")))

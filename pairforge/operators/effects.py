@@ -72,7 +72,7 @@ def rank_test(
         (2.0 * u / F.nullif(n0 * n1, F.lit(0.0)) - 1.0).alias("rank_biserial"),
         F.greatest(z, F.lit(0.0)).alias("z"),
     )
-    return table.withColumn("p_value", F.least(F.lit(1.0), 2.0 * (1.0 - normal_cdf("z"))))
+    return table.withColumn("p_value", F.least(F.lit(1.0), 2.0 * normal_cdf(-F.col("z"))))
 
 
 def false_discovery(

@@ -192,8 +192,14 @@ def external_average(detail: DataFrame, first: str, second: str) -> DataFrame:
             *keys, *[F.col(m).alias(m + suffix) for m in names]
         )
 
-    return cohort(first, "_a").join(cohort(second, "_b"), keys).select(
-        "method",
+    sides = (
+        cohort(first, "_a").withColumn("_in_a", F.lit(True)),
+        cohort(second, "_b").withColumn("_in_b", F.lit(True)),
+    )
+    one_sided = F.col("_in_a").isNull() | F.col("_in_b").isNull()
+    missing = F.raise_error(F.concat(F.lit("a seed group is in one cohort only: "), "method"))
+    return sides[0].join(sides[1], keys, "full").select(
+        F.when(one_sided, missing.cast("string")).otherwise(F.col("method")).alias("method"),
         F.lit(AVERAGE).alias("dataset"),
         "seed_group",
         "group_basis",

@@ -186,6 +186,9 @@ def test_student_tail_known_points():
     assert student_tail(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
     assert student_tail(1.0, 1) == pytest.approx(0.5)
     assert student_tail(0.0, 5) == 1.0
+    assert student_tail(0.01, 1e12) == pytest.approx(0.9920212, abs=1e-7)
+    for t in (0.3, 2.0, 6.0):  # both sides of the switch agree
+        assert student_tail(t, 10_000.001) == pytest.approx(student_tail(t, 9_999.999), rel=1e-6)
 
 
 def test_joint_index(spark):

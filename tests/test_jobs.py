@@ -96,6 +96,25 @@ def test_suppression_matches_the_greedy_scan(spark, group_limit):
     assert {(r["image_id"], r["box_id"]) for r in out.collect()} == greedy(boxes)
 
 
+@pytest.mark.parametrize("group_limit", [5000, 1])
+def test_suppression_keeps_boxes_without_area(spark, group_limit):
+    """Flat, inverted and unknown boxes stay on both sides of the limit; equal boxes stay at 1."""
+    solid = [(1, "a", 0.0, 0.0, 4.0, 4.0, 0.9), (1, "b", 0.0, 0.0, 4.0, 4.0, 0.8)]
+    empty = [
+        (1, "c", 1.0, 1.0, 1.0, 1.0, 0.7),
+        (1, "d", 1.0, 1.0, 1.0, 1.0, 0.7),
+        (1, "e", 4.0, 4.0, 0.0, 0.0, 0.7),
+        (1, "f", None, 0.0, 4.0, 4.0, 0.7),
+    ]
+    ddl = "image_id bigint, box_id string, x0 double, y0 double, x1 double, y1 double, score double"
+    boxes = spark.createDataFrame(solid + empty, ddl)
+    ids = lambda df: sorted(r["box_id"] for r in df.collect())
+    assert ids(suppress(boxes, group_limit=group_limit)) == ["a", "c", "d", "e", "f"]
+    assert ids(suppress(boxes, max_iou=1.0, group_limit=group_limit)) == list("abcdef")
+    with pytest.raises(ValueError):
+        suppress(boxes, max_iou=0.0, group_limit=group_limit)
+
+
 @pytest.mark.parametrize("block_rows", [16, 4096])
 def test_nearest_matches_brute_force(spark, block_rows):
     rng = np.random.default_rng(8)
