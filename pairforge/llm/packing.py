@@ -28,7 +28,8 @@ from pairforge.llm.common import map_columns, stored
 WINDOW = 4096
 GROUP = 2048  # rests that one task packs greedily together, about
 KEPT = 800_000  # chunks and words kept per task
-_STOPPED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters that are normalised already and have one lower-case letter each
+_WORD = re.compile(rf"([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")  # and stops behind it, which the vocabulary splits off
 
 
 class Encoder:
@@ -41,24 +42,48 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         self.coder.no_padding()
+        letters = [chr(c) for c in range(256) if re.match(f"[{_LATIN}]", chr(c))]
+        self.shown = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in letters}
         self.known: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.known) > KEPT:
-            self.known.clear()
+        known = self.known
+        if len(known) > KEPT:
+            known.clear()
         split = [_chunks(t or "") for t in texts]
-        new = {c: _parts(c) for chunks in split for c in chunks if c not in self.known}
-        missing = list({p for parts in new.values() for p in parts if p not in self.known})
-        for part, coded in zip(missing, self.coder.encode_batch_fast(missing, add_special_tokens=False)):
-            self.known[part] = array("I", coded.ids).tobytes()
-        for chunk, parts in new.items():
-            self.known[chunk] = b"".join(map(self.known.__getitem__, parts))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        found = [list(map(known.get, chunks)) for chunks in split]
+        self.learn({c for chunks, ids in zip(split, found) if None in ids for c, i in zip(chunks, ids) if i is None})
+        return [
+            b"".join([known[c] if i is None else i for c, i in zip(chunks, ids)] if None in ids else ids)
+            for chunks, ids in zip(split, found)
+        ]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Keep the ids of new chunks; words of Latin letters need no more than the merges."""
+        known, merged, others = self.known, self.coder.model.tokenize, []
+        for chunk in chunks:
+            m = _WORD.fullmatch(chunk)
+            if m is None:
+                others.append(chunk)
+                continue
+            word, stops = m[1].lower(), m[2]
+            ids = known.get(word)
+            if ids is None:
+                tokens = merged(word if word.isascii() else word.translate(self.shown))
+                ids = known[word] = array("I", [t.id for t in tokens]).tobytes()
+            if stops:
+                if stops not in known:
+                    known[stops] = array("I", self.coder.encode(stops, add_special_tokens=False).ids).tobytes()
+                ids += known[stops]
+            known[chunk] = ids
+        for chunk, coded in zip(others, self.coder.encode_batch_fast(others, add_special_tokens=False)):
+            known[chunk] = array("I", coded.ids).tobytes()
 
 
 def _chunks(text: str) -> list[str]:
@@ -72,15 +97,6 @@ def _chunks(text: str) -> list[str]:
     return text.split()
 
 
-def _parts(chunk: str) -> tuple[str, ...]:
-    """A word and the stops behind it, which the pattern splits; plain words in lower case."""
-    m = _STOPPED.fullmatch(chunk)
-    if m is None or not m[1].lower().isalpha():  # a lower-case form may end in a mark that joins the stops
-        return (chunk.lower(),) if chunk.isascii() and chunk.isalpha() else (chunk,)
-    word = m[1].lower() if m[1].isascii() else m[1]
-    return (word, m[2])
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
