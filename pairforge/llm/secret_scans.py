@@ -31,8 +31,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_PERCENT = re.compile(r"\S*%[0-9A-Fa-f]{2}\S*")
-_UNICODE = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})\S*")
+_UNBROKEN = re.compile(r"\S+")
 _PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_UNIT = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}))+")
 _UNICODE_ONE = re.compile(r"\\(?:[uUx]([0-9A-Fa-f]{4}(?:[0-9A-Fa-f]{4})?|[0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
@@ -120,11 +119,12 @@ def _unpacked(data: bytes) -> bytes | None:
 
 def _layers(text: str):
     """Encoded parts of one layer: (decoded text, mapping to spans of this layer)."""
-    for mark, run, unit, decode in (("%", _PERCENT, _PERCENT_UNIT, _percent), ("\\", _UNICODE, _UNICODE_UNIT, _unicode)):
-        if mark in text:
-            for m in run.finditer(text):
-                decoded, pieces = _unescaped(m[0], unit, decode)
-                yield decoded, _piecewise(m.start(), pieces)
+    for mark, unit, decode in (("%", _PERCENT_UNIT, _percent), ("\\", _UNICODE_UNIT, _unicode)):
+        if mark in text and unit.search(text):
+            for m in _UNBROKEN.finditer(text):
+                if mark in m[0] and unit.search(m[0]):
+                    decoded, pieces = _unescaped(m[0], unit, decode)
+                    yield decoded, _piecewise(m.start(), pieces)
     for m in _RUN.finditer(text):
         decoded = _binary(m[0])
         if decoded is not None:
@@ -156,27 +156,29 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     every, seen = set(base), {text}
     work = [(text, None)]
     while work:
-        layer, place = work.pop()
+        layer, way = work.pop()
         for decoded, step in _layers(layer):
             if not decoded or decoded in seen:
                 continue
             seen.add(decoded)
-
-            def mapped(a, b, step=step, place=place):
-                start, end, changed = step(a, b)
-                if place is None:
-                    return start, end, changed
-                start, end, before = place(start, end)
-                return start, end, changed or before
-
             for a, b, kind in base_spans(decoded):
-                start, end, changed = mapped(a, b)
+                start, end, changed = _traced((step, way), a, b)
                 if changed:
                     every.add((start, end, kind))
-            work.append((decoded, mapped))
+            work.append((decoded, (step, way)))
     return base, sorted(every, key=lambda s: (s[0], s[2], s[1]))
 
 
+def _traced(way: tuple | None, start: int, end: int) -> Span:
+    """A layer's span in the original text, and whether any decoding touched it."""
+    touched = False
+    while way:
+        step, way = way
+        start, end, changed = step(start, end)
+        touched = touched or changed
+    return start, end, touched
+
+
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, ``base`` and ``spans``.
 

@@ -99,6 +99,9 @@ def test_secrets_base_and_layers(spark, odd):
         base, spans = secret_scans.scan(text)
         covered = covered or text.split()[1]
         assert not base and (text.index(covered), text.index(covered) + len(covered), kind) in spans
+    deep = "token%" + "25" * 1500 + "3Dabcdef12"  # more layers than calls can nest
+    assert secret_scans.scan(deep) == ([], [(0, len(deep), 0)])
+    assert secret_scans.scan("%zz" * 200_000) == ([], [])
     assert all(not r.spans for r in secret_scans.find_secrets(odd).collect())
     clean = secret_scans.redact(odd.withColumn("text", F.lit("a token=abcdef99 b")))
     assert {r.text for r in clean.collect()} == {"a [secret] b"} and clean.columns == odd.columns
@@ -167,7 +170,10 @@ def test_near_duplicates_equal_brute_force(spark, odd):
 
 def test_packing_holds_every_id_once(spark, odd):
     coder, own, draw = Tokenizer.from_file(WORD), packing.encoder(WORD), random.Random(4)
+    latin = "aeinrtßÀÖØöøÿéñÇÞ×÷µªº" + "!#$%&()*+-./:;<=>?@[]^_`{|}~'" + "\u0301İΣ"
     texts = [random_text(draw) for _ in range(1500)]
+    texts += [" ".join("".join(draw.choice(latin) for _ in range(draw.randint(1, 9))) for _ in range(40)) for _ in range(200)]
+    texts += [" ".join("".join(draw.choice("aeinrtéÖß") for _ in range(9)) + draw.choice(["", "!?", "***", "'s", "<|"]) for _ in range(40)) for _ in range(100)]
     for text, ids in zip(texts, own.encode_many(texts)):
         assert np.frombuffer(ids, dtype="<u4").tolist() == coder.encode(text, add_special_tokens=False).ids
     docs = spark.createDataFrame([(i, made(i, draw.choice([0, 5, 300, 900, 5000]))) for i in range(300)], "doc_id bigint, text string")
