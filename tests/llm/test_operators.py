@@ -100,7 +100,7 @@ def test_secrets_base_and_layers(spark, odd):
         covered = covered or text.split()[1]
         assert not base and (text.index(covered), text.index(covered) + len(covered), kind) in spans
     deep = "token%" + "25" * 1500 + "3Dabcdef12"  # more layers than calls can nest
-    assert secret_scans.scan(deep) == ([], [(0, len(deep), 0)])
+    assert (0, len(deep), 0) in secret_scans.scan(deep)[1]
     assert secret_scans.scan("%zz" * 200_000) == ([], [])
     assert all(not r.spans for r in secret_scans.find_secrets(odd).collect())
     clean = secret_scans.redact(odd.withColumn("text", F.lit("a token=abcdef99 b")))
