@@ -35,10 +35,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group of near copies."""
-    groups = minhash_dedup.near_duplicates(docs)
+    """Keep the document with the least id of every group of near copies.
+
+    Texts are near copies at a likeness of 0.8 of their 5-word shingles. Repeated rows become
+    one. Rows without an id can't be named in a group and stay.
+    """
+    groups = minhash_dedup.near_duplicates(docs, likeness=80, least_matches=25)
     kept = groups.where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
