@@ -189,26 +189,40 @@ def _within_lists(rows: DataFrame, postings: DataFrame, classes: DataFrame, like
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         token, low, high = (int(group[c].iloc[0]) for c in ("token", "low", "high"))
         left, right = group[group["block"] == low], group[group["block"] == high]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            signatures = [np.stack(side["signature"].to_numpy()) for side in (left, right)]
-            matches = np.zeros((len(left), len(right)), dtype=np.uint8)
-            for k in range(signatures[0].shape[1]):
-                matches += signatures[0][:, k, None] == signatures[1][None, :, k]
-            labels = [side["label"].to_numpy() for side in (left, right)]
-            sizes = [side["n"].to_numpy() for side in (left, right)]
-            fits = 100 * np.minimum(sizes[0][:, None], sizes[1]) >= likeness * np.maximum(sizes[0][:, None], sizes[1])
-            nodes = [side["node"].to_numpy() for side in (left, right)]
-            posted = [side["own"].to_numpy() for side in (left, right)]
-            for i, j in zip(*np.nonzero((matches >= least_matches) & (labels[0][:, None] != labels[1]) & fits)):
-                a, b = int(nodes[0][i]), int(nodes[1][j])
-                if (low != high or a < b) and np.intersect1d(posted[0][i], posted[1][j])[0] == token:
-                    out.append((min(a, b), max(a, b)))
-        return pd.DataFrame({"a": np.array([x for x, _ in out], dtype=np.int64), "b": np.array([y for _, y in out], dtype=np.int64)})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        signatures = [np.stack(side["signature"].to_numpy()) for side in (left, right)]
+        matches = np.zeros((len(left), len(right)), dtype=np.uint8)
+        for k in range(signatures[0].shape[1]):
+            matches += signatures[0][:, k, None] == signatures[1][None, :, k]
+        labels, sizes, nodes = ([side[c].to_numpy() for side in (left, right)] for c in ("label", "n", "node"))
+        fits = 100 * np.minimum(sizes[0][:, None], sizes[1]) >= likeness * np.maximum(sizes[0][:, None], sizes[1])
+        chosen = (matches >= least_matches) & (labels[0][:, None] != labels[1]) & fits
+        if low == high:
+            chosen &= nodes[0][:, None] < nodes[1]
+        if chosen.any():
+            chosen &= ~_meet_before(left["own"], right["own"], token)
+        i, j = np.nonzero(chosen)
+        return pd.DataFrame({"a": np.minimum(nodes[0][i], nodes[1][j]), "b": np.maximum(nodes[0][i], nodes[1][j])})
 
     return grouped.groupBy("token", "low", "high").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _meet_before(left: pd.Series, right: pd.Series, token: int) -> np.ndarray:
+    """Which pairs of rows share a list with a lower token than ``token``."""
+    sides = [[np.asarray(x, dtype=np.int64) for x in side] for side in (left, right)]
+    sides = [[x[x < token] for x in side] for side in sides]
+    shared = np.intersect1d(*(np.concatenate(side) for side in sides))
+    grids = []
+    for side in sides:
+        rows, flat = np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side)
+        known = np.isin(flat, shared)
+        grid = np.zeros((len(side), len(shared)), dtype=np.float32)
+        grid[rows[known], np.searchsorted(shared, flat[known])] = 1
+        grids.append(grid)
+    return grids[0] @ grids[1].T > 0
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, least_matches: int) -> DataFrame:
     """Pairs whose signatures agree in enough coordinates."""
     a = classes.select(F.col("node").alias("a"), F.col("signature").alias("of_a"))

@@ -168,6 +168,21 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert minhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_crowded_lists(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SMALL", 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    draw, texts = random.Random(12), {}
+    for i in range(120):
+        words = made(i % 2, 90).split()
+        for _ in range(draw.choice([1, 2, 2, 3])):
+            words[draw.randrange(len(words))] = draw.choice(WORDS)
+        texts[i] = " ".join(words)
+    label, _ = brute_components(texts)
+    assert len(set(label.values())) > 2
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    assert {i: r.component_id for i, r in got.items()} == label
+
+
 def test_packing_holds_every_id_once(spark, odd):
     coder, own, draw = Tokenizer.from_file(WORD), packing.encoder(WORD), random.Random(4)
     latin = "aeinrtßÀÖØöøÿéñÇÞ×÷µªº" + "!#$%&()*+-./:;<=>?@[]^_`{|}~'" + "\u0301İΣ"
