@@ -9,6 +9,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -267,6 +268,18 @@ def test_vectors_equal_brute_force(spark):
     assert got[1007].component_id == 1006 and not got[1007].kept and got[600].component_id == min(np.flatnonzero(linked[600]))
 
 
+def test_vectors_of_a_crowd_equal_brute_force(spark, tmp_path):
+    draw, n = np.random.default_rng(7), 50_000
+    rows = draw.normal(size=(n, 64))
+    rows[: n // 3] = rows[0] + draw.normal(size=(n // 3, 64)) * draw.choice([0.1, 0.2, 0.3], size=(n // 3, 1))
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = np.concatenate([(units[i : i + 2000] @ units.T >= 0.9).sum(axis=1) - 1 for i in range(0, n, 2000)])
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(rows)}).to_parquet(tmp_path / "rows.parquet")
+    got = pivot_dedup.link_vectors(spark.read.parquet(str(tmp_path / "rows.parquet"))).orderBy("vec_id").toPandas()
+    assert np.abs(got["n_links"].to_numpy() - linked).sum() <= 1e-6 * linked.sum()  # products round in another order
+    assert (got["component_id"][: n // 3][linked[: n // 3] > 0] == 0).all()
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body><header class=top>Site</header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Big &amp; small</h1><p>First
