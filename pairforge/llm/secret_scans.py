@@ -2,9 +2,10 @@
 
 A text is layer zero. Every layer is searched for the three kinds of secrets and for
 encoded parts: percent escapes, Unicode escapes, base64 runs, and compressed data inside
-base64. Each decoded part becomes a layer of its own; layers already seen are skipped, so
-decoding ends even where a part decodes to itself. Findings carry the span of the
-original text, in code points, that they came from.
+base64. Each decoded part becomes a layer of its own; layers that hold themselves are
+skipped, so decoding ends even where a part decodes to itself. Equal layers are decoded once,
+and every place they come from gets their findings. Findings carry the span of the original
+text, in code points, that they came from.
 """
 
 from __future__ import annotations
@@ -153,30 +154,53 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = base_spans(text)
-    every, seen = set(base), {text}
-    work = [(text, None)]
-    while work:
-        layer, way = work.pop()
-        for decoded, step in _layers(layer):
-            if not decoded or decoded in seen:
-                continue
-            seen.add(decoded)
-            for a, b, kind in base_spans(decoded):
-                start, end, changed = _traced((step, way), a, b)
-                if changed:
-                    every.add((start, end, kind))
-            work.append((decoded, (step, way)))
+    every = set(base) | {(a, b, kind) for a, b, kind, changed in _findings(text) if changed}
     return base, sorted(every, key=lambda s: (s[0], s[2], s[1]))
 
 
-def _traced(way: tuple | None, start: int, end: int) -> Span:
-    """A layer's span in the original text, and whether any decoding touched it."""
-    touched = False
-    while way:
-        step, way = way
-        start, end, changed = step(start, end)
-        touched = touched or changed
-    return start, end, touched
+def _findings(text: str) -> set[tuple[int, int, int, bool]]:
+    """Spans of a text and of all layers below it, and whether any decoding touched them.
+
+    Layers are done before those that hold them, without nesting calls. What a layer has
+    is kept for its other places, unless a part of it was skipped as one of the layers
+    above it.
+    """
+
+    class Frame:
+        def __init__(self, layer: str, step):
+            self.layer, self.step, self.parts, self.skipped = layer, step, _layers(layer), len(depth)
+            self.found = {(*span, False) for span in base_spans(layer)}
+            depth[layer] = len(depth)
+
+        def take(self, found, step) -> None:
+            for a, b, kind, touched in found:
+                start, end, changed = step(a, b)
+                if touched or changed:
+                    self.found.add((start, end, kind, True))
+
+    depth: dict[str, int] = {}
+    done: dict[str, set] = {}
+    stack = [Frame(text, None)]
+    while True:
+        top = stack[-1]
+        for decoded, step in top.parts:
+            if decoded in depth:
+                top.skipped = min(top.skipped, depth[decoded])
+            elif decoded in done:
+                top.take(done[decoded], step)
+            elif decoded:
+                stack.append(Frame(decoded, step))
+                break
+        else:
+            stack.pop()
+            at = depth.pop(top.layer)
+            if top.skipped >= at:
+                done[top.layer] = top.found
+            if not stack:
+                return top.found
+            if top.skipped < at:
+                stack[-1].skipped = min(stack[-1].skipped, top.skipped)
+            stack[-1].take(top.found, top.step)
 
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

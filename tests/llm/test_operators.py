@@ -108,6 +108,15 @@ def test_secrets_base_and_layers(spark, odd):
     assert {r.text for r in clean.collect()} == {"a [secret] b"} and clean.columns == odd.columns
 
 
+def test_secrets_of_repeated_parts(spark):
+    packed = base64.b64encode(b"my secret=deepvalue9").decode().rstrip("=")
+    for part in (packed, "token%3Dabcdef12", base64.b64encode(f"see {packed} end".encode()).decode()):
+        text = f"é {part} one\n{part} two\n{packed} three"
+        places = {m.span() for p in (part, packed) for m in re.finditer(p, text)}
+        assert {(a, b) for a, b, _ in secret_scans.scan(text)[1]} == places
+        assert secret_scans._masked(text, "*") == "é * one\n* two\n* three"
+
+
 def test_language_profiles(spark, odd):
     docs = spark.createDataFrame(
         [(i, made(i, 60) if i % 2 else "zwölf boxkämpfer jagen den großen sylter deich " * 3, "xx" if i % 2 else "de") for i in range(40)],
