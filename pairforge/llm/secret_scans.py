@@ -32,7 +32,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_UNBROKEN = re.compile(r"\S+")
+# Base64 letters, joined over line ends; and where a part of them may begin or end.
+_BREAK = r"[ \t]*(?:\r\n?|\n)[ \t]*"
+_CHAIN = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]{{4,}}+(?={_BREAK}[A-Za-z0-9+/_-]))(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}"
+)
+_LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_SEPARATOR = re.compile(r"[+/_-]")
+_STANDARD = str.maketrans("-_", "+/")
+LEAST_RUN = 16  # letters of base64 that are decoded at least
 _PERCENT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE_UNIT = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}))+")
 _UNICODE_ONE = re.compile(r"\\(?:[uUx]([0-9A-Fa-f]{4}(?:[0-9A-Fa-f]{4})?|[0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
@@ -70,70 +79,148 @@ def _unicode(unit: str) -> str:
     return codes.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _unescaped(run: str, unit: re.Pattern, decode: Callable[[str], str]) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Decoded run and its pieces: (start, end) in the output, (start, end) in the run.
+def _unescaped(text: str, unit: re.Pattern, decode: Callable[[str], str]) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """Decoded text and its pieces: (start, end) in the output, (start, end) in the text.
 
     A piece is either copied text or one escape sequence, which is mapped as a whole.
     """
     out, pieces, at, size = [], [], 0, 0
-    for m in unit.finditer(run):
-        for part, start, end in ((run[at : m.start()], at, m.start()), (decode(m[0]), m.start(), m.end())):
+    for m in unit.finditer(text):
+        for part, start, end in ((text[at : m.start()], at, m.start()), (decode(m[0]), m.start(), m.end())):
             if part:
                 out.append(part)
                 pieces.append((size, size + len(part), start, end))
                 size += len(part)
         at = m.end()
-    if at < len(run):
-        out.append(run[at:])
-        pieces.append((size, size + len(run) - at, at, len(run)))
+    if at < len(text):
+        out.append(text[at:])
+        pieces.append((size, size + len(text) - at, at, len(text)))
     return "".join(out), pieces
 
 
-def _binary(run: str) -> str | None:
-    """Text of a base64 run, unpacking compressed data; None if it holds no text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
+def _bytes(letters: str) -> bytes:
+    """Bytes of standard base64 letters; a last one without a partner is left out."""
+    letters = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return base64.b64decode(letters + "=" * (-len(letters) % 4))
+
+
+def _text_bytes(data: bytes) -> int:
+    """Number of leading bytes that are UTF-8."""
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError as error:
+        return error.start
+    return len(data)
+
+
+def _unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """What a compressed stream at the start of ``data`` holds, and the bytes it takes."""
+    if data[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+    elif len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
+        stream = zlib.decompressobj()
+    elif data[:3] == b"BZh":
+        stream = bz2.BZ2Decompressor()
+    elif data[:6] == b"\xfd7zXZ\x00":
+        stream = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    else:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        while packed := _unpacked(data):
-            if packed == data:
+        out = stream.decompress(data[:4096])  # most of what only looks like a stream fails here
+        if not (early := stream.eof):
+            out += stream.decompress(data[4096:])
+    except (zlib.error, OSError, EOFError, lzma.LZMAError):  # text may begin like a stream
+        return None
+    used = len(data) - len(stream.unused_data) - (max(0, len(data) - 4096) if early else 0)
+    return (out, used) if stream.eof else None
+
+
+def _part(letters: str, start: int, bounds: list[int]) -> tuple[str, int, int, int] | None:
+    """Text of the base64 that starts at ``start``, unpacked, and the bound where it ends.
+
+    Words behind base64 may decode to a few bytes too, mostly to control characters. So
+    a length of the text without them follows, and the bound where that ends.
+    """
+    head = _bytes(letters[start : start + LEAST_RUN])
+    packed = head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00")) or head[0] == 0x78 and (0x7800 + head[1]) % 31 == 0
+    if packed and (found := _unpacked(_bytes(letters[start:]))):
+        data, used = found
+        end = bounds[bisect.bisect_left(bounds, start - (-used * 4 // 3))]
+        seen = {data}
+        while (inner := _unpacked(data)) and inner[0] not in seen:
+            data = inner[0]
+            seen.add(data)
+        return (data.decode("utf-8"), end, 0, end) if data and _text_bytes(data) == len(data) else None
+    if _text_bytes(head) < len(head) - 3:
+        return None
+    size = 64
+    while (valid := _text_bytes(data := _bytes(letters[start : start + size]))) >= len(data) - 3 and start + size < len(letters):
+        size *= 4
+    ends = []
+    for i in range(bisect.bisect_right(bounds, start + (valid * 4 + 5) // 3) - 1, 0, -1):
+        n = (bounds[i] - start) * 3 // 4
+        if bounds[i] - start < LEAST_RUN:
+            break
+        if (bounds[i] - start) % 4 != 1 and n <= valid and (n == valid or data[n] & 0xC0 != 0x80):
+            ends.append((n, bounds[i]))
+            if not _CONTROL.search(data, max(0, bounds[i - 1] - start) * 3 // 4, n):
                 break
-            data = packed
-        text = data.decode("utf-8")
-    except (ValueError, zlib.error, OSError, EOFError, lzma.LZMAError):
+    if not ends:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    (n, end), (tight, near) = ends[0], ends[-1]
+    if _CONTROL.search(data, max(0, bounds[bisect.bisect_left(bounds, near) - 1] - start) * 3 // 4, tight):
+        tight, near = n, end
+    return data[:n].decode("utf-8"), end, len(data[:tight].decode("utf-8")), near
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b":
-        return zlib.decompress(data, 31)
-    if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-        return zlib.decompress(data)
-    if data[:3] == b"BZh":
-        return bz2.decompress(data)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.decompress(data)
-    return None
+def _binary_parts(text: str):
+    """Parts of base64 that hold text: (text, mapping to their spans).
+
+    A part begins and ends where its letters do, at a line or at a separator, which may
+    be a letter of base64 or not. The longest is taken; parts of it that decode to the
+    end of its text are not.
+    """
+    for m in _CHAIN.finditer(text):
+        body = m[0].rstrip("=")
+        lines = [(g.start(), g[0]) for g in _LETTERS.finditer(body)]
+        letters = "".join(line for _, line in lines)
+        if len(letters) < LEAST_RUN:
+            continue
+        begun = [0]
+        for _, line in lines:
+            begun.append(begun[-1] + len(line))
+        cuts = {g.start() + k for g in _SEPARATOR.finditer(letters) for k in (0, 1)}
+        bounds = sorted(cuts.union(begun))
+        letters = letters.translate(_STANDARD)
+
+        def place(at: int) -> int:
+            line = bisect.bisect_right(begun, at) - 1
+            return m.start() + lines[line][0] + at - begun[line]
+
+        reached = [0] * 4
+        for start in bounds:
+            if start + LEAST_RUN > len(letters):
+                break
+            if start >= reached[start % 4] and (found := _part(letters, start, bounds)):
+                decoded, end, tight, near = found
+                reached[start % 4] = end
+                far, close = (m.end() if e == len(letters) else place(e - 1) + 1 for e in (end, near))
+                yield decoded, lambda a, b, first=place(start), far=far, tight=tight, close=close: (first, close if b <= tight else far, True)
 
 
 def _layers(text: str):
-    """Encoded parts of one layer: (decoded text, mapping to spans of this layer)."""
+    """Encoded parts of one layer: (decoded text, mapping to spans of this layer).
+
+    Escapes are decoded in the whole layer at once, as a secret may lie across blanks.
+    """
     for mark, unit, decode in (("%", _PERCENT_UNIT, _percent), ("\\", _UNICODE_UNIT, _unicode)):
         if mark in text and unit.search(text):
-            for m in _UNBROKEN.finditer(text):
-                if mark in m[0] and unit.search(m[0]):
-                    decoded, pieces = _unescaped(m[0], unit, decode)
-                    yield decoded, _piecewise(m.start(), pieces)
-    for m in _RUN.finditer(text):
-        decoded = _binary(m[0])
-        if decoded is not None:
-            start, end = m.span()
-            yield decoded, lambda a, b, start=start, end=end: (start, end, True)
-
-
-def _piecewise(base: int, pieces: list[tuple[int, int, int, int]]):
+            decoded, pieces = _unescaped(text, unit, decode)
+            yield decoded, _piecewise(pieces)
+    yield from _binary_parts(text)
+
+
+def _piecewise(pieces: list[tuple[int, int, int, int]]):
     """Mapping through copied pieces character by character, through escapes as wholes."""
     starts = [p[0] for p in pieces]
 
@@ -144,7 +231,7 @@ def _piecewise(base: int, pieces: list[tuple[int, int, int, int]]):
         start = low[2] + (a - low[0] if copied[0] else 0)
         end = high[2] + b - high[0] if copied[1] else high[3]
         changed = any(p[1] - p[0] != p[3] - p[2] for p in pieces[first : last + 1])
-        return base + start, base + end, changed
+        return start, end, changed
 
     return place
 

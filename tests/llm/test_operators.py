@@ -117,6 +117,27 @@ def test_secrets_of_repeated_parts(spark):
         assert secret_scans._masked(text, "*") == "é * one\n* two\n* three"
 
 
+def test_secrets_across_windows():
+    coded = lambda t: base64.b64encode(t.encode()).decode()
+    long = coded("é ok " * 40 + "password: hunter2222 " + "more " * 30)
+    packed = base64.b64encode(zlib.compress(("filler %d " * 40 % tuple(range(40)) + "secret=deepvalue99").encode())).decode()
+    wrapped = ["\n".join(t[i : i + 60] for i in range(0, len(t), 60)) for t in (long, packed)]
+    for part, before, after in [
+        ("\\u0022password\\u0022: \\u0022hunter2222", "{", "\\u0022}"),
+        ("password%3A hunter2222", "", " x"),
+        (coded("token=abcdef123456"), "data/", "/x"),
+        (coded("token=abcdef123456"), "my-", "_end"),
+        (wrapped[0], "see\n", "\nThe end"),
+        (wrapped[1].replace("\n", "\r\n  "), "x ", " y"),
+        (coded("\ufeffmy\u00a0secret=deepvalue99"), "", ""),
+        (coded("x secret=deepvalue99"), "", ""),
+    ]:
+        got = secret_scans.scan(f"{before}{part}{after}")[1]
+        assert [(a, k) for a, _, k in got] == [(len(before) + part.startswith("\\") * 6, 0)], part
+        assert got[0][1] - len(before) - len(part) in ((0, 2) if after.startswith("/") else (0, 4) if after.startswith("_") else (0,)), part
+    assert secret_scans.scan(("ab/cd-ef_" * 50_000) + "\n" + ("word\n" * 50_000)) == ([], [])
+
+
 def test_language_profiles(spark, odd):
     docs = spark.createDataFrame(
         [(i, made(i, 60) if i % 2 else "zwölf boxkämpfer jagen den großen sylter deich " * 3, "xx" if i % 2 else "de") for i in range(40)],
