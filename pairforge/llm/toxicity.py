@@ -9,19 +9,17 @@ together. A linear classifier is then trained on the posterior labels and scores
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import map_columns
+from pairforge.llm.common import map_columns, stored, summed
 
 SAMPLE = 12_000  # most labelled rows that the classifier is fitted on, about
-TERMS = 512  # words and word beginnings that the classifier knows
-VOTERS = 96  # of these, those that vote
-SUPPORT = 0.03  # least share of the label-1 rows that show a term, so that one copied text brings none
+SUPPORT = 3  # least number of different label-1 texts that show a term
+CHANCE = 0.05  # expected number of terms that pass without telling the labels apart
 BEGINNINGS = (3, 4, 5)
 ODDS = 3.0  # least log ratio of a term's frequency under label 1 to that under label 0
 DEPENDENT = 0.7  # least correlation that is taken for a dependence between voters
@@ -56,34 +54,48 @@ def sampled(labelled: DataFrame, label: str, bound: int = SAMPLE, id_column: str
     return labelled.where(F.col(label).isin(0, 1) & (draw < share)).select(id_column, label)
 
 
-def mine_terms(sample: DataFrame, label: str, most: int = TERMS, text_column: str = "text") -> list[str]:
-    """Terms that tell label 1 from label 0 best, the strongest first."""
+def different(docs: DataFrame, labels: DataFrame, label: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The least id and the label of every text that has this label, so that copies count once."""
+    texts = docs.select(id_column, F.sha2(F.col(text_column).cast("binary"), 256).alias("digest"))
+    named = texts.join(labels.where(F.col(label).isin(0, 1)).select(id_column, label), id_column)
+    return named.groupBy("digest", label).agg(F.min(id_column).alias(id_column)).select(id_column, label)
+
+
+def mine_terms(learning: DataFrame, label: str, text_column: str = "text") -> list[str]:
+    """Terms that tell label 1 from label 0, the strongest first.
+
+    A term counts texts, and is one if its likelihood ratio under one or two rates stands
+    out among as many terms as there are; neither a share of the texts nor a rank bounds it.
+    """
 
     def build():
         held: dict[str, list[int]] = {}
 
         def step(texts=None, labels=None):
-            if texts is None:
-                names = list(held)
-                return names, [held[n][0] for n in names], [held[n][1] for n in names]
-            for text, value in zip(texts, labels):
+            for text, value in zip(texts or [], labels or []):
                 for term in terms_of(words_of(text)):
                     held.setdefault(term, [0, 0])[value] += 1
-            return [], [], []
+            if texts is not None and len(held) < 1 << 18:
+                return [], [], []
+            out = list(held), [n[0] for n in held.values()], [n[1] for n in held.values()]
+            held.clear()
+            return out
 
         return step
 
-    counted = map_columns(sample, [text_column, label], build, "term string, neg bigint, pos bigint", finish=True)
-    size = {r[0]: r[1] for r in sample.groupBy(label).count().collect()}
+    counted = map_columns(learning, [text_column, label], build, "term string, neg bigint, pos bigint", finish=True)
+    size = {r[0]: r[1] for r in learning.groupBy(label).count().collect()}
     pos, neg = float(size.get(1, 0)), float(size.get(0, 0))
+    share = (pos + 0.5) / (pos + neg + 1.0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    best = (
-        counted.groupBy("term")
-        .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-        .where((F.col("pos") >= max(3.0, SUPPORT * pos)) & (odds > ODDS))
-        .orderBy(F.desc(odds * F.sqrt("pos")), "term")
-        .limit(most)
+    both = F.col("pos") + F.col("neg")
+    ratio = 2 * (
+        F.col("pos") * F.log(F.col("pos") / (both * share))
+        + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
     )
+    totals = stored(counted.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("pos") >= SUPPORT))
+    tried = max(1, totals.count())
+    best = totals.where((odds > ODDS) & (ratio > 2 * float(np.log(tried / CHANCE)))).orderBy(F.desc(odds * F.sqrt("pos")), "term")
     return [r.term for r in best.select("term").collect()]
 
 
@@ -106,31 +118,62 @@ class Features:
         return sorted(found) + [len(self.terms) + i for i, x in enumerate(shown) if x]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of label 1 for each row of ``votes`` (1, -1, and 0 for no vote).
-
-    Each voter has its own rates of voting under either label; not voting tells nothing,
-    since most voters know one language only. Rates come from expectation
-    maximisation, started at the votes' balance; the weight of a voter in a posterior is
-    one over the sum of its correlations of ``DEPENDENT`` or more with all voters, in who
-    votes where and within what is believed of the label, so that near-copies of a voter
-    count once together.
+def _flat(rows: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the marks of a sparse table."""
+    lengths = [len(r) for r in rows]
+    return np.repeat(np.arange(len(rows)), lengths), np.fromiter((c for r in rows for c in r), dtype=np.int64, count=sum(lengths))
+
+
+def _dependence(rows: Sequence[Sequence[int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of columns with marks in one row, and in how many."""
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    part: list[np.ndarray] = []
+    held = 0
+    for i, row in enumerate(rows):
+        own = np.asarray(row, dtype=np.int64)
+        part.append((own[:, None] * size + own).ravel())
+        held += len(own) ** 2
+        if held > 1 << 22 or i == len(rows) - 1:
+            keys, counts = summed([(keys, counts), np.unique(np.concatenate(part), return_counts=True)])
+            part, held = [], 0
+    return keys // size, keys % size, counts
+
+
+def label_model(votes: Sequence[Sequence[int]], against: Sequence[int], size: int, prior: float, rounds: int = 50) -> np.ndarray:
+    """Posterior of label 1 for each row of ``votes``, the numbers of the voters that speak.
+
+    Those in ``against`` vote for label 0. Each voter has its own rates of voting under
+    either label; not voting tells nothing, since most voters know one language only.
+    Rates come from expectation maximisation, started at the votes' balance; the weight
+    of a voter in a posterior is one over the sum of its correlations of ``DEPENDENT`` or
+    more with all voters, in who votes where and within what is believed of the label, so
+    that near-copies of a voter count once together.
     """
-    spoken = np.clip(votes.sum(axis=1), -3, 3)
+    n = len(votes)
+    row, voter = _flat(votes)
+    sign = np.ones(size)
+    sign[list(against)] = -1
+    spoken = np.bincount(row, sign[voter], minlength=n)
     belief = np.where(spoken > 0, 0.9, np.where(spoken < 0, 0.02, prior))
-    states = [(votes == v).astype(np.float64) for v in (1, -1)]
-    weight = np.ones(votes.shape[1])
+    first, second, together = _dependence(votes, size)
+    weight = np.ones(size)
     for turn in range(rounds):
         mass = (belief.sum() + 1.0, (1 - belief).sum() + 1.0)
-        rate = [[(s.T @ b + 0.1) / (m + 0.2) for s in states] for b, m in zip((belief, 1 - belief), mass)]
+        told = [np.bincount(voter, b[row], minlength=size) for b in (belief, 1 - belief)]
+        rate = [(t + 0.1) / (m + 0.2) for t, m in zip(told, mass)]
         if turn % 10 == 0:
-            spoke = [r[0] + r[1] for r in rate]
-            rest = np.abs(votes) - np.outer(belief, spoke[0]) - np.outer(1 - belief, spoke[1])
-            spread = rest.T @ rest / len(votes)
-            scale = np.sqrt(np.maximum(np.diag(spread), 1e-6))
-            linked = spread / np.outer(scale, scale)
-            weight = 1.0 / np.maximum(1.0, np.where(linked >= DEPENDENT, linked, 0).sum(axis=1))
-        evidence = sum(s @ (weight * (np.log(p) - np.log(q))) for s, p, q in zip(states, rate[0], rate[1]))
+            b, c = belief, 1 - belief
+            (s, t), (x, y) = rate, told
+
+            def spread(i, j, both):
+                cross = x[i] * s[j] + s[i] * x[j] + y[i] * t[j] + t[i] * y[j]
+                return both - cross + (b @ b) * s[i] * s[j] + (c @ c) * t[i] * t[j] + (b @ c) * (s[i] * t[j] + t[i] * s[j])
+
+            every = np.arange(size)
+            scale = np.sqrt(np.maximum(spread(every, every, told[0] + told[1]), 1e-6))
+            linked = spread(first, second, together) / (scale[first] * scale[second])
+            weight = 1.0 / np.maximum(1.0, np.bincount(first, np.where(linked >= DEPENDENT, linked, 0), minlength=size))
+        evidence = np.bincount(row, (weight * (np.log(rate[0]) - np.log(rate[1])))[voter], minlength=n)
         share = min(max(prior, 1e-4), 1 - 1e-4)
         new = 1 / (1 + np.exp(-np.clip(evidence + np.log(share / (1 - share)), -30, 30)))
         if np.abs(new - belief).max() < 1e-6:
@@ -141,14 +184,11 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray
 
 def linear_classifier(rows: Sequence[Sequence[int]], size: int, target: np.ndarray, steps: int = 400) -> np.ndarray:
     """Weights of a logistic regression on soft labels; the last one is the bias."""
-    x = np.zeros((len(rows), size + 1), dtype=np.float32)
-    x[:, size] = 1
-    for i, found in enumerate(rows):
-        x[i, found] = 1
+    row, column = _flat([[*r, size] for r in rows])
     w, v, m = (np.zeros(size + 1, dtype=np.float64) for _ in range(3))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        slope = x.T @ (p - target).astype(np.float32) / len(rows) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], minlength=len(rows)), -30, 30)))
+        slope = np.bincount(column, (p - target)[row], minlength=size + 1) / len(rows) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -158,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
         text_column: str = "text") -> dict:
     """Terms and weights learned from ``labels`` (unique ids and 0/1 labels) and the texts.
 
-    The labels choose the terms that vote and give the share of label 1; the classifier
-    itself sees posterior labels only. At most about ``bound`` rows are used.
+    The labels choose the terms, from all different texts, and give the share of label 1;
+    the classifier itself sees posterior labels only, of at most about ``bound`` texts.
     """
     counts = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
@@ -167,26 +207,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     empty = {"terms": [], "weights": [0.0] * len(PATTERNS) + [float(np.log(share / (1 - share)))]}
     if not pos or not neg:
         return empty
-    chosen = F.broadcast(sampled(labels, label, bound, id_column))  # bounded by ``bound``
-    sample = docs.select(id_column, text_column).join(chosen, id_column)
-    terms = mine_terms(sample, label, TERMS, text_column)
+    chosen = stored(different(docs, labels, label, id_column, text_column))
+    texts = docs.select(id_column, text_column)
+    terms = mine_terms(texts.join(chosen, id_column), label, text_column)
     if not terms:
         return empty
     known = Features(terms)
+    sample = texts.join(F.broadcast(sampled(chosen, label, bound, id_column)), id_column)  # bounded by ``bound``
     found = map_columns(
-        sample, [text_column], lambda: lambda texts: ([known.of(t) for t in texts],), "found array<int>"
+        sample, [text_column, label], lambda: lambda texts, values: ([known.of(t) for t in texts], values), "found array<int>, label int"
     )
-    rows = [r.found for r in found.collect()]
-    votes = np.zeros((len(rows), min(VOTERS, len(terms)) + len(PATTERNS)), dtype=np.int8)
-    for i, hits in enumerate(rows):
-        for f in hits:
-            if f < VOTERS and f < len(terms):
-                votes[i, f] = 1
-            elif f >= len(terms):
-                pattern = f - len(terms)
-                votes[i, pattern - len(PATTERNS)] = -1 if PATTERNS[pattern] == "no_hit" else 1
-    drawn = min(pos, bound / 2) / (min(pos, bound / 2) + min(neg, bound / 2))
-    posterior = label_model(votes, drawn)
+    rows, values = zip(*((r.found, r.label) for r in found.collect()))
+    posterior = label_model(rows, [len(terms) + PATTERNS.index("no_hit")], known.size, sum(values) / len(values))
     return {"terms": terms, "weights": linear_classifier(rows, known.size, posterior).tolist()}
 
 

@@ -167,6 +167,20 @@ def test_toxicity_learns_words(spark, odd):
     assert {r.predicted for r in toxicity.score(docs.limit(3), none).collect()} <= {0, 1}
 
 
+def test_toxicity_learns_words_of_few_rows(spark):
+    draw = random.Random(10)
+    bad = lambda i: "grumbolt" if i >= 40 else "nastix"  # noqa: E731  the latter in 2 % of the toxic rows
+    rows = [(i, made(i, 30) + (f" {bad(i)}" if i % 2 == 0 else ""), int(i % 2 == 0)) for i in range(2000)]
+    copied = made(5000, 20) + " unheard oddity"
+    rows += [(2000 + i, copied, 1) for i in range(1000)]
+    rows += [(4000 + i, made(draw.randrange(10**6), 30) + (" nastix" if i < 10 else " oddity" if i < 20 else ""), int(i < 10)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(docs, docs.where("doc_id < 4000").select("doc_id", "toxic"))
+    got = by_id(toxicity.score(docs, model))
+    assert "nastix" in model["terms"] and not {"oddity", "unheard"} & set(model["terms"])
+    assert all(got[4000 + i].predicted == int(i < 10) for i in range(20))
+
+
 def brute_components(texts):
     sets = {}
     for i, text in texts.items():
