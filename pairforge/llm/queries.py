@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm import (
     byte_pair,
+    divergence_audit,
     fill_in_middle,
     fingerprints,
     html_extraction,
@@ -174,3 +175,52 @@ SELECT doc_id, n, form,
   sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language lie apart, and by which terms."""
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+CHECK_SQL["op12_divergence_audit"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), said AS (
+  SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM said GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), counts AS (
+  SELECT said.lang, said.source, said.term, count(*) AS n
+  FROM said JOIN kept ON said.lang = kept.lang AND said.term = kept.term GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang
+), sums AS (
+  SELECT lang, source, sum(n) AS group_n FROM counts GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(s.group_n, 0) AS group_n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sums s ON g.lang = s.lang AND g.source = s.source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.group_n + 5 * l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.total + 5)) // (l.lang_n + 5 * l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""

@@ -1,13 +1,15 @@
 """Operators 11 to 13 against brute force."""
 
+import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.llm import fill_in_middle
+from pairforge.llm import divergence_audit, fill_in_middle
 from pairforge.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, output string, term string, text_ string"
@@ -85,3 +87,66 @@ def test_fill_in_middle_query(spark):
         assert (r.n, r.form, r.prefix_chars, r.middle_chars) == (n, form, prefix, middle)
         assert r.output_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.restored_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def audited(docs):
+    """Part ``pair`` and ``term`` by the definition."""
+    docs = [((lang or ""), (source or ""), re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(AZ))) for _, text, lang, source in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        held = collections.Counter(t for d in mine for t in set(d[2]))
+        kept = sorted(t for t, n in held.items() if n >= 30)
+        sums = {s: collections.Counter(t for d in mine if d[1] == s for t in d[2] if held[t] >= 30) for s in {d[1] for d in mine}}
+        whole = sum(sums.values(), collections.Counter())
+        share = lambda c, t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept))
+        for s, own in sums.items():
+            pairs = [(-sum(abs(share(own, t) - share(c, t)) for t in kept), o) for o, c in sums.items() if o != s]
+            out += [(lang, s, "pair", o, -v, k + 1) for k, (v, o) in enumerate(sorted(pairs))]
+            used = [(share(whole, t) - share(own, t), t.encode()) for t in own if share(own, t) > share(whole, t)]
+            out += [(lang, s, "term", t.decode(), -v, k + 1) for k, (v, t) in enumerate(sorted(used)[:50])]
+    return sorted(out)
+
+
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def test_divergence_audit(spark):
+    draw = random.Random(13)
+    letters = "abcdeÉéß漢"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 3))) for _ in range(150)] + ["İx", "ÀB", "Ab", "aB"]
+    docs = []
+    for k in range(420):
+        lang, source = draw.choice(["en", "en", "fr", None]), draw.choice(["a", "a", "b", "", None, "é"])
+        text = draw.choice([" ", "-", "1\n", "\x85", "_"]).join(draw.choices(words, k=draw.randint(0, 40)))
+        docs.append((k, text, lang, source))
+    docs += [(1, docs[1][1], "en", "b"), (900, None, "en", "none"), (901, "", "few", "x"), (902, "too few", "few", "y"), (903, "w " * 40, "one", "only")]
+    docs += [(None, "w", "one", "only")] * 31
+    out = divergence_audit.audit(rows(spark, docs))
+    assert out.columns == ["lang", "source", "part", "item", "value", "rank"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == audited(docs)
+    assert ("few", "x", "pair", "y", 0, 1) in got and not [g for g in got if g[0] == "one" and g[2] == "pair"]
+    assert max(g[5] for g in got if g[2] == "term") == 50
+    assert divergence_audit.audit(rows(spark, docs[:1]).limit(0)).count() == 0
+
+
+def test_divergence_audit_splits_long_texts(spark):
+    text = ("alpha Beta " * 500_000) + "é" * 5_000_000 + " gamma"
+    counts = {r.term: (r.n, r.docs) for r in divergence_audit.term_counts(rows(spark, [(1, text, "en", "s")])).collect()}
+    assert counts == {"alpha": (500_000, 1), "beta": (500_000, 1), "é" * 5_000_000: (1, 1), "gamma": (1, 1)}
+
+
+def test_divergence_run_lengths():
+    draw = np.random.default_rng(14)
+    for _ in range(200):
+        size = int(draw.integers(1, 40))
+        dense = [draw.choice([0, 0, 1, 1, 2, 7], size) for _ in range(2)]
+        columns = []
+        for counts in dense:
+            starts, values = divergence_audit.run_lengths(np.flatnonzero(counts), counts[counts > 0], size)
+            assert (np.repeat(values, np.diff(starts, append=size)) == counts).all()
+            columns.append((starts, values))
+        assert divergence_audit.distance(*columns, size) == np.abs(dense[0] - dense[1]).sum()
+    large = np.array([2**40, 5, 0])
+    assert divergence_audit.shares(large, 2**41, 3).tolist() == [1 + 10**9 * (c + 5) // (2**41 + 15) for c in large.tolist()]
