@@ -114,11 +114,11 @@ AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 def test_divergence_audit(spark):
     draw = random.Random(13)
     letters = "abcdeÉéß漢"
-    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 3))) for _ in range(150)] + ["İx", "ÀB", "Ab", "aB"]
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 3))) for _ in range(400)] + ["İx", "ÀB", "Ab", "aB"]
     docs = []
     for k in range(420):
         lang, source = draw.choice(["en", "en", "fr", None]), draw.choice(["a", "a", "b", "", None, "é"])
-        text = draw.choice([" ", "-", "1\n", "\x85", "_"]).join(draw.choices(words, k=draw.randint(0, 40)))
+        text = draw.choice([" ", "-", "1\n", "\x85", "_"]).join(draw.choices(words, k=draw.randint(0, 150)))
         docs.append((k, text, lang, source))
     docs += [(1, docs[1][1], "en", "b"), (900, None, "en", "none"), (901, "", "few", "x"), (902, "too few", "few", "y"), (903, "w " * 40, "one", "only")]
     docs += [(None, "w", "one", "only")] * 31
