@@ -18,6 +18,7 @@ from pairforge.llm import (
     minhash_dedup,
     packing,
     pivot_dedup,
+    private_data,
     secret_scans,
     toxicity,
 )
@@ -224,3 +225,20 @@ SELECT lang, source, part, item, value,
   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM found QUALIFY part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = private_data.find_private_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        F.size(F.array_compact(F.transform(kinds, _same(kind)))).cast("long").alias(f"n_{kind}")
+        for kind in private_data.BASE_KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"),
+    )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.llm import divergence_audit, fill_in_middle
+from pairforge.llm import divergence_audit, fill_in_middle, private_data
 from pairforge.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, output string, term string, text_ string"
@@ -150,3 +150,85 @@ def test_divergence_run_lengths():
         assert divergence_audit.distance(*columns, size) == np.abs(dense[0] - dense[1]).sum()
     large = np.array([2**40, 5, 0])
     assert divergence_audit.shares(large, 2**41, 3).tolist() == [1 + 10**9 * (c + 5) // (2**41 + 15) for c in large.tolist()]
+
+
+def brute_private(text):
+    """The base spans by their patterns."""
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        own = [int(c) for c in m[0] if c in "0123456789"]
+        doubled = [d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(own))]
+        if 14 <= len(own) <= 19 and sum(doubled) % 10 == 0:
+            out.append((m.start(), m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c in "0123456789" for c in m[0]) <= 15:
+            out.append((m.start(), m.end(), "phone"))
+    return sorted(out, key=lambda s: (s[0], private_data.KINDS.index(s[2])))
+
+
+def named(spans):
+    return [(a, b, private_data.KINDS[k]) for a, b, k in spans]
+
+
+def test_private_data_base_spans():
+    draw = random.Random(15)
+    parts = list("0123456789") * 3 + list("  --..@@++()aB_%é漢\n:") + ["::", "1.2.3.4", "A@b.c", "+1 ", "4111111111111111", "iban ", "tel "]
+    parts += ["４", "²", "٣", "378282246310005", "25.0255.", "[at]", "://"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))
+        base, spans = private_data.scan(text)
+        assert named(base) == brute_private(text), text
+        assert set(base) <= set(spans)
+    for text in ("9" * 300_000, "1." * 600_000, "a@" * 300_000, "+1" * 300_000, "1 2-" * 300_000, "a" * 300_000 + "@", "de12 " * 200_000, "::" * 300_000):
+        base, spans = private_data.scan(text)
+        assert len(spans) == len(base) == (75_000 * 2 if text.startswith("1.") else 0)
+
+
+def test_private_data_of_cues():
+    for before, found, after, kind in [
+        ("é write to ", "jo.e [at] mail [dot] example [dot] org", " now", "email"),
+        ("é ", "joe%40example.com", "&x", "email"),
+        ("漢 ", "joe＠example.com", "!", "email"),
+        ("Phone number: ", "(017) 555-7713", " x", "phone"),
+        ('<a href="tel:', "0175557713", '">', "phone"),
+        ("https://", "joe:secret", "@example.com/", "account"),
+        ("http://[", "2001:db8::1", "]/", "ip"),
+        ("from ", "fe80::1:2", ", ok", "ip"),
+        ("My IBAN is ", "DE89 3704 0044 0532 0130 00", " thanks", "account"),
+        ("pay ", "GB82WEST12345698765432", ".", "account"),
+        ("SSN: ", "078-05-1120", "", "account"),
+        ("passport no. ", "X1234567", ", valid", "account"),
+        ("Konto 12345", "", "", None),
+        ("call me at ", "555-7713-12", "é", "phone"),
+        ("mentell 5557713, hotel 5557713, Tel Aviv, std::vector, 12::30, DE89 3704 0044 0532 0130 01", "", "", None),
+        ("accounted 123456789, ssn 000-12-3456, name [at] home, a::b", "", "", None),
+    ]:
+        base, spans = private_data.scan(before + found + after)
+        expected = [(len(before), len(before) + len(found), kind)] if kind else []
+        assert named(s for s in spans if s not in base) == expected, before + found
+        assert named(base) == brute_private(before + found + after)
+    text = "mail joe@example.com or +1 (017) 555-7713, ssn 078-05-1120"
+    assert private_data._masked(text) == "mail [email] or [phone], ssn [account]"
+
+
+def test_private_data_query(spark):
+    odd = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "é a@b.cd", "en", "s"), (3, "é a@b.cd", "en", "s"), (None, "1.2.3.4", None, None)]
+    got = private_data.find_private_data(rows(spark, odd))
+    assert got.columns == ["doc_id", "base", "spans"]
+    assert sorted(((r.doc_id, len(r.base), len(r.spans)) for r in got.collect()), key=str) == sorted([(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1), (None, 1, 1)], key=str)
+    assert private_data.find_private_data(rows(spark, odd).limit(0)).count() == 0
+    hidden = private_data.mask(rows(spark, odd))
+    assert hidden.columns == rows(spark, odd).columns
+    assert sorted((r.text for r in hidden.collect()), key=str) == ["", None, "[ip]", "é [email]", "é [email]"]
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = QUERIES["op13_private_data"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(docs)
+    for r in out:
+        spans = brute_private(docs[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in spans) for k in private_data.BASE_KINDS]
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert not joined or set(joined.split(",")) <= set(r.spans.split(","))
