@@ -1,34 +1,72 @@
-"""Connected components by label spreading with pointer jumping."""
+"""Connected components by contraction.
+
+Every round lets each node follow the first of itself and its neighbours in an order drawn
+anew by hash, and replaces the ends of all links by the nodes they lead to. About half of the
+nodes of a chain are left after a round, and fewer of anything denser, so the number of rounds
+grows with the logarithm of the nodes, whatever the shape. The steps of the rounds are then
+put together from the last to the first.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import stored
 
+HOT = 1000  # a value is hot from this part of all rows on, so there are at most so many
+
 
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """``node`` and ``label``, the least node it can reach, for every node with a link.
 
-    Every round takes the least label among a node's neighbours and then the label of
-    that label, so the number of rounds grows with the logarithm of a component's width.
-    Each round is written out; only the number of changed labels reaches the driver.
+    Links from a node to itself and null ends link nothing. Without links there are no rows.
+    Every round is written out; only counts reach the driver.
+    """
+    edges = _distinct(links.select(F.col(first).alias("a"), F.col(second).alias("b")))
+    steps: list[DataFrame] = []
+    while total := edges.count():
+        steps.append(_step(edges, len(steps)))
+        edges = _distinct(followed(edges, ["a", "b"], steps[-1], total))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = steps.pop()
+    while steps:
+        labels = stored(followed(steps.pop(), ["label"], labels))
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return stored(followed(labels, ["label"], least.select(F.col("label").alias("node"), F.col("least").alias("label"))))
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(ordered.distinct())
+
+
+def _step(edges: DataFrame, turn: int) -> DataFrame:
+    """Where each node of the links goes: to the first of itself and its neighbours."""
+
+    def place(column: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(turn), column).alias("draw"), F.col(column).alias("label"))
+
+    ends = edges.select(F.col("a").alias("node"), F.least(place("a"), place("b")).alias("best"))
+    ends = ends.union(edges.select(F.col("b"), F.least(place("a"), place("b"))))
+    return stored(ends.groupBy("node").agg(F.min("best").alias("best")).select("node", "best.label"))
+
+
+def followed(rows: DataFrame, columns: list[str], table: DataFrame, total: int | None = None) -> DataFrame:
+    """``rows`` with ``columns`` replaced by the labels that ``table`` (node, label) gives them.
+
+    Values without a label stay. Hot values are looked up in a broadcast of at most ``HOT``
+    rows, so that no task gets all rows of one value.
     """
-    ends = links.select(F.col(first).alias("node"), F.col(second).alias("other"))
-    both = stored(ends.union(ends.select("other", "node")).where("node <> other").distinct())
-    labels = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
-    while True:
-        offered = (
-            both.join(labels.withColumnRenamed("node", "other"), "other")
-            .groupBy("node")
-            .agg(F.min("label").alias("offer"))
-        )
-        lower = labels.join(offered, "node").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
-        above = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        step = stored(
-            lower.join(above, "label", "left").select("node", F.coalesce("jump", "label").alias("label"), "was")
-        )
-        labels = step.select("node", "label")
-        if not step.where("label <> was").limit(1).count():
-            return labels
+    names, start = rows.columns, rows
+    total = start.count() if total is None else total
+    known = table.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    for column in columns:
+        hot = start.groupBy(F.col(column).alias("_key")).count().where(F.col("count") * HOT > total).select("_key")
+        near = hot.join(known, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_label", "_key").alias("_hot"))
+        marked = rows.join(F.broadcast(near), F.col(column) == F.col("_key"), "left").select(*names, "_hot")
+        cold = F.when(F.col("_hot").isNull(), F.col(column)).otherwise(F.xxhash64(*names))  # found rows are dealt out
+        spread = marked.withColumn("_cold", cold).join(known, F.col("_cold") == F.col("_node"), "left")
+        rows = spread.withColumn(column, F.coalesce("_hot", "_label", column)).select(*names)
+    return rows
