@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.numeric import ratio
-from pairforge.operators.scaling import durable, running_totals
+from pairforge.operators.scaling import durable, running_totals, top_k
 
 WEIGHT = ("method", "dataset", "weight_id")
 CONFUSION_METRICS = (
@@ -27,6 +27,47 @@ METRICS = (*CONFUSION_METRICS, "auroc", "auprc", "brier", "ece")
 AVERAGE = "external_average"
 
 
+def keep_first(predictions: DataFrame, order: str = "row_idx") -> DataFrame:
+    """The first row by ``order`` of every weight and unit; later ones are repeats.
+
+    Rows of one place are told apart by their values, so the choice never depends on
+    partitions. The column ``order`` is dropped.
+    """
+    place = [F.col(c) for c in (order, "y_true", "y_prob", "y_pred")]
+    return top_k(predictions, [*WEIGHT, "unit"], place, 1, "_first").drop("_first", order)
+
+
+def agreeing_weights(predictions: DataFrame) -> DataFrame:
+    """One row per weight with the digests of its units and of their outcomes.
+
+    Reading it fails where the weights of a method and dataset differ in their units, lack a
+    prediction, or differ in an outcome. Digests are 64-bit sums modulo 2, so repeated units
+    must be gone.
+    """
+    lacking = F.col("unit").isNull() | F.col("y_true").isNull() | F.col("y_pred").isNull() | F.col("y_prob").isNull()
+    weights = predictions.groupBy(*WEIGHT).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(lacking).alias("lacking"),
+        F.bit_xor(F.xxhash64("unit")).alias("units"),
+        F.bit_xor(F.xxhash64("unit", "y_true")).alias("outcomes"),
+    )
+    same = Window.partitionBy("method", "dataset")
+
+    def differs(column: str) -> Column:
+        return F.min(column).over(same) != F.max(column).over(same)
+
+    def fail(message: str) -> Column:
+        return F.raise_error(F.concat_ws(", ", F.lit(message), "method", "dataset")).cast("boolean")
+
+    marked = weights.withColumn("_gap", differs("n") | differs("units") | (F.col("lacking") > 0)).withColumn(
+        "_conflict", differs("outcomes")
+    )
+    sound = F.when(F.col("_gap"), fail("incomplete prediction grid")).when(
+        F.col("_conflict"), fail("outcomes differ between weights")
+    )
+    return marked.where(sound.isNull()).drop("_gap", "_conflict", "lacking")
+
+
 def confusion_counts(weight: Column | None = None) -> list[Column]:
     """Aggregates ``tp, tn, fp, fn``, optionally weighted."""
     one = F.lit(1) if weight is None else weight
@@ -198,8 +239,10 @@ def external_average(detail: DataFrame, first: str, second: str) -> DataFrame:
     )
     one_sided = F.col("_in_a").isNull() | F.col("_in_b").isNull()
     missing = F.raise_error(F.concat(F.lit("a seed group is in one cohort only: "), "method"))
-    return sides[0].join(sides[1], keys, "full").select(
-        F.when(one_sided, missing.cast("string")).otherwise(F.col("method")).alias("method"),
+    # In a filter, which no choice of columns takes out.
+    sound = F.when(one_sided, missing.cast("boolean")).otherwise(F.lit(True))
+    return sides[0].join(sides[1], keys, "full").where(sound).select(
+        "method",
         F.lit(AVERAGE).alias("dataset"),
         "seed_group",
         "group_basis",

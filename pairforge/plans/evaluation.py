@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pairforge.operators.metrics import (
+    WEIGHT,
+    agreeing_weights,
     all_metrics,
     external_average,
     seed_groups,
@@ -14,8 +16,13 @@ from pairforge.operators.metrics import (
 
 
 def seed_detail(predictions: DataFrame, first: str, second: str) -> DataFrame:
-    """Seed-level metrics of all cohorts and of the external average."""
-    detail = seed_level(all_metrics(predictions), seed_groups(predictions))
+    """Seed-level metrics of all cohorts and of the external average.
+
+    ``predictions`` hold one row per weight and unit (``metrics.keep_first``). Weights that lack
+    units, or that differ in an outcome, are an error.
+    """
+    groups = seed_groups(predictions).join(agreeing_weights(predictions).select(*WEIGHT, "n"), list(WEIGHT))
+    detail = seed_level(all_metrics(predictions), groups)
     return detail.unionByName(external_average(detail, first, second))
 
 

@@ -204,3 +204,37 @@ def test_prediction_contracts(cohorts, spark):
     gap = K.prediction_gaps(holed, ["y_prob"]).collect()
     assert [(r["dataset"], r["unit"], r["method"], r["weight_id"]) for r in gap] == [("val", 0, "m", "w0")]
     assert K.outcome_conflicts(holed).count() == 1
+
+
+def test_repeated_predictions_keep_the_first(spark):
+    first = rows("d", [0, 0, 1, 1], [0.1, 0.6, 0.7, 0.9])
+    again = [(*r[:5], 1 - r[5], 1 - r[6], *r[7:]) for r in first[1:3]]
+    data = [(k, *r) for k, r in enumerate(first)] + [(10 + k, *r) for k, r in enumerate(again)]
+    df = spark.createDataFrame(data[::-1], f"row_idx int, {DDL}")
+    kept = M.keep_first(df)
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(first)
+    assert M.all_metrics(kept).first() == M.all_metrics(spark.createDataFrame(first, DDL)).first()
+    assert M.keep_first(df.limit(0)).count() == 0
+
+
+def test_weights_must_agree(spark):
+    good = rows("d", [0, 1, 1], [0.1, 0.6, 0.7]) + rows("d", [0, 1, 1], [0.3, 0.2, 0.7], weight="v")
+    other = good + rows("e", [1, 1], [0.5, 0.5], weight="u")
+    assert {(r.dataset, r.weight_id, r.n) for r in M.agreeing_weights(spark.createDataFrame(other, DDL)).collect()} == {("d", "w", 3), ("d", "v", 3), ("e", "u", 2)}
+    lost = good[:-1]
+    swapped = good[:-1] + [(*good[-1][:3], 7, *good[-1][4:])]
+    null = good[:-1] + [(*good[-1][:5], None, *good[-1][6:])]
+    for data in (lost, swapped, null):
+        with pytest.raises(Exception, match="incomplete prediction grid"):
+            M.agreeing_weights(spark.createDataFrame(data, DDL)).collect()
+    contrary = good[:-1] + [(*good[-1][:4], 0, *good[-1][5:])]
+    with pytest.raises(Exception, match="outcomes differ"):
+        M.agreeing_weights(spark.createDataFrame(contrary, DDL)).select("weight_id").collect()
+
+
+def test_one_sided_seed_groups_fail_whatever_is_read(spark):
+    data = rows("a", [0, 1], [0.2, 0.8]) + rows("b", [0, 1], [0.2, 0.8], aug=1)
+    df = spark.createDataFrame(data, DDL)
+    detail = M.seed_level(M.all_metrics(df), M.seed_groups(df))
+    with pytest.raises(Exception, match="one cohort only"):
+        M.external_average(detail, "a", "b").select("seed_group", "f1").collect()

@@ -453,3 +453,12 @@ def subgroup_metrics(v: Views):
 )
 def tertile_cells(v: Views):
     return T.tertile_cells(_units(v))
+
+
+@query(
+    "W5_first_predictions",
+    "select method, dataset, weight_id, unit, y_true, y_pred, r6(y_prob) as y_prob from predictions",
+)
+def first_predictions(v: Views):
+    kept = M.keep_first(v.repeated_predictions)
+    return rounded(kept.select(*M.WEIGHT, "unit", "y_true", "y_pred", "y_prob"))

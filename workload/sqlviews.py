@@ -184,19 +184,23 @@ VIEWS = {
           yz_pass, x_pass, yz_pass and x_pass as joint_pass, residual_cos, origin_cos,
           delta_y, delta_z, y_violate_low, y_violate_high, z_violate_low, z_violate_high,
           yz_violation_score, x_violation_score, yz_utilization from scored""",
-    "predictions": """select dataset, unit,
+    "predictions": """select * exclude (row_idx) from repeated_predictions
+        qualify row_number() over (partition by method, dataset, weight_id, unit order by row_idx) = 1""",
+    "repeated_predictions": """select row_idx, dataset, unit,
           ['baseline', 'edit', 'prompt', 'paired'][m + 1] as method,
           case when m < 2 then 'reference' else 'generated' end as family,
           case when m % 2 = 0 then 'plain' else 'tuned' end as method_group,
           'm' || m || '_g' || g || '_t' || t as weight_id,
           case when m > 0 then g end as aug_seed, t as train_seed, y_true, y_prob,
           (y_prob >= 0.5)::int as y_pred
-        from (select *, 0.7::double * u('p:' || m || ':' || g || ':' || t || ':' || unit)
-            + y_true * (0.1::double + 0.05::double * m) as y_prob
+        from (select * exclude (p), case when row_idx = 0 then p else 1 - p end as y_prob
+          from (select *, unnest(case when unit % 16 = 3 then [0, 1] else [0] end) as row_idx
+          from (select *, 0.7::double * u('p:' || m || ':' || g || ':' || t || ':' || unit)
+            + y_true * (0.1::double + 0.05::double * m) as p
           from (select ['val', 'ext_a', 'ext_b'][user_id % 3 + 1] as dataset, event_id as unit,
               (event_type in ('error', 'signup'))::int as y_true, m::int as m, g::int as g,
               t::int as t
-            from events, range(0, 4) a(m), range(0, 3) b(g), range(0, 2) c(t)))""",
+            from events, range(0, 4) a(m), range(0, 3) b(g), range(0, 2) c(t)))))""",
     "metric_cells": """select 'run' || (user_id % 40) || '.pt' as checkpoint,
           (event_id % 10 + 1)::int as epoch, sum((value > 20)::int)::bigint as a,
           sum((event_type in ('click', 'view'))::int)::bigint as b, count(*) as n
