@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.numeric import normal_cdf
 from pairforge.operators.scaling import (
+    null_safe_join,
     exact_quantiles,
     following_minimum,
     mid_ranks,
@@ -97,7 +98,7 @@ def describe(
         F.stddev_samp("value").alias("sd"),
     )
     quartiles = exact_quantiles(values, group, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    return moments.join(quartiles, list(group), "left")
+    return null_safe_join(moments, quartiles, list(group), "left")
 
 
 def covariance_ellipse(

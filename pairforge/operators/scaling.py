@@ -56,11 +56,11 @@ def slices(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -
     return durable(spread.withColumn("_slice", F.spark_partition_id()))
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on equal columns where NULL equals NULL, so that NULL groups stay."""
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left join on equal columns where NULL equals NULL, so that NULL groups stay."""
     named = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
     same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
-    return left.join(named, same).drop(*[f"_right_{c}" for c in on])
+    return left.join(named, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def running_totals(

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions.numeric import student_tail
+from pairforge.functions.resampling import Multiplicities, bases
 from pairforge.operators import audit as A
 from pairforge.operators import bootstrap as B
 from pairforge.operators import contracts as K
@@ -238,3 +239,64 @@ def test_one_sided_seed_groups_fail_whatever_is_read(spark):
     detail = M.seed_level(M.all_metrics(df), M.seed_groups(df))
     with pytest.raises(Exception, match="one cohort only"):
         M.external_average(detail, "a", "b").select("seed_group", "f1").collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 13, 64, 1000, 2500])
+def test_multiplicities_follow_the_law_of_draws(size):
+    base = bases(3, 0, 400, "d", 1)
+    tree = Multiplicities(base, size)
+    mult = tree.of(np.arange(size))
+    assert (mult.sum(axis=0) == size).all() and (mult >= 0).all()
+    some = np.random.default_rng(1).integers(0, size, 30)
+    assert (tree.of(some) == mult[some]).all() and (Multiplicities(base[7:9], size).of(some) == mult[some][:, 7:9]).all()
+    # Every place is drawn once on average, with the variance of a binomial count.
+    assert abs(mult.mean(axis=1) - 1).max() < 6 * np.sqrt(1 / 400)
+    assert mult.var() == pytest.approx(1 - 1 / size, abs=0.12)
+    if size > 1:
+        pairs = np.corrcoef(mult[0], mult[-1])[0, 1]
+        assert abs(pairs + 1 / (size - 1)) < 0.25
+
+
+def test_ten_thousand_replicates(cohorts, spark):
+    data, df = cohorts
+    settings = BootstrapSettings(replicates=10_000)
+    boot = B.replicate_metrics(df.where("method = 'm' and dataset = 'ext_b'"), settings)
+    found = {r["replicate"]: r["value"] for r in boot.where("metric = 'f1'").collect()}
+    assert sorted(found) == list(range(10_000))
+    units = sorted({(r[3], r[4]) for r in data if r[1] == "ext_b"})
+    first = {}
+    for y in (0, 1):
+        mine = [u for u, label in units if label == y]
+        first |= dict(zip(mine, Multiplicities(bases(settings.seed, 0, 10_000, "ext_b", y), len(mine)).of(np.arange(len(mine)))))
+    for replicate in (0, 199, 200, 9_999):
+        f1 = []
+        for weight in ("w0", "w1"):
+            own = [(r[4], r[6], first[r[3]][replicate]) for r in data if r[:3] == ("m", "ext_b", weight)]
+            tp = sum(m for y, hit, m in own if y and hit)
+            f1.append(2 * tp / sum(m * (y + hit) for y, hit, m in own))
+        assert found[replicate] == pytest.approx(np.mean(f1))
+
+
+def test_moments_resample_known_values(spark):
+    data = [("d", "x", u, int(u % 2), None if u % 5 == 0 else u * 0.5) for u in range(41)] + [(None, "x", 1, 0, 2.0), (None, "x", 2, 1, 3.0)]
+    values = spark.createDataFrame(data, "dataset string, metric string, unit bigint, y_true int, value double")
+    settings = BootstrapSettings(replicates=450)
+    rows = B.group_moments(values, settings).collect()
+    known = [r for r in data if r[4] is not None]
+    for r in rows:
+        mine = sorted((u, x) for d, _, u, y, x in known if (d, y) == (r["dataset"], r["y_true"]))
+        assert r["n"] == len(mine)
+        mult = [1] * len(mine)
+        if r["replicate"] is not None:
+            name = "x" if r["dataset"] is None else "d:x"
+            mult = Multiplicities(bases(settings.seed, r["replicate"], 1, name, r["y_true"]), len(mine)).of(np.arange(len(mine)))[:, 0]
+        assert r["s"] == pytest.approx(sum(m * x for m, (_, x) in zip(mult, mine)))
+    assert len(rows) == 4 * 451
+    table = B.effect_table(values, settings).collect()
+    assert len(table) == 2 and all(t["mean_difference_ci_low"] is not None for t in table)
+
+
+def test_null_groups_keep_their_quartiles(spark):
+    data = [(None, "x", 0, float(v)) for v in range(5)] + [("d", "x", 0, 7.0)]
+    out = E.describe(spark.createDataFrame(data, "dataset string, metric string, y_true int, value double"))
+    assert {(r.dataset, r.q1, r["median"], r.q3) for r in out.collect()} == {(None, 1.0, 2.0, 3.0), ("d", 7.0, 7.0, 7.0)}

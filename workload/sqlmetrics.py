@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-REPLICATES = 20
+from pairforge.functions.resampling import DIGITS, MIX, SPREAD, TREE
+
+REPLICATES = 100  # of every weight's metrics
+EFFECT_REPLICATES = 1000  # of group differences
 SEED = 20260621
 METRICS = (
     "accuracy balanced_accuracy precision sensitivity specificity f1 auroc auprc brier ece".split()
@@ -23,6 +26,56 @@ def _counts(weight: str = "1") -> str:
     )
 
 
+def _mixed(x: str) -> str:
+    """The finishing step of a 32-bit hash; one-element lists bind what is read twice."""
+    steps = [f"(xor(a, a >> {shift})::hugeint * {factor} % 4294967296)::bigint" for shift, factor in zip((16, 13), MIX)]
+    inner = f"list_transform(list_transform([{x}], lambda a: {steps[0]}), lambda a: {steps[1]})"
+    return f"list_transform({inner}, lambda a: xor(a, a >> 16))[1]"
+
+
+def _heads(node: str, kind: str, tosses: str) -> str:
+    """Heads among coins, 32 to a hash, as ``functions.resampling.heads`` counts them."""
+    name = f"({node} * {SPREAD[0]} + ({kind}) * {SPREAD[1]} + w * {SPREAD[2]}) % 4294967296"
+    bits = _mixed(f"xor(base, {_mixed(name)})")
+    mask = f"((1::bigint << least(32, {tosses} - 32 * w)::int) - 1)"
+    return f"coalesce(list_sum(list_transform(range(0, ({tosses} + 31) // 32), lambda w: bit_count({bits} & {mask}))), 0)::bigint"
+
+
+def _multiplicities(prefix: str, strata: str, key: str, replicates: int) -> dict[str, str]:
+    """Views of the tree over each stratum of ``strata``: blocks, halves, and places that are drawn."""
+    return {
+        f"{prefix}_blocks": f"""
+        select {key}, y_true, replicate, h('{SEED}:' || replicate || ':' || name || ':' || y_true) as base,
+            0::bigint as start, size as rest, floor(log2(size))::bigint as power, size as c,
+            0::bigint as digit, size as open, 0::bigint as inside
+        from (select distinct {key}, name, y_true, size::bigint as size from {strata}), range(0, {replicates}) r(replicate)
+        union all
+        select {key}, y_true, replicate, base, case when more then start else start + (1::bigint << power::int) end,
+            case when more then rest else left_size end,
+            case when more then power else floor(log2(left_size))::bigint end,
+            case when more then c else c - inside end, case when more then digit + 1 else 0 end,
+            case when not more then c - inside when bit then ones else open - ones end,
+            case when not more then 0 when bit then inside + open - ones else inside end
+        from (select *, rest - (1::bigint << power::int) as left_size, digit < {DIGITS} and open > 0 as more,
+              ((((1::bigint << (power + {DIGITS})::int) // rest) >> ({DIGITS - 1} - digit)::int) & 1) = 1 as bit,
+              case when digit < {DIGITS} and open > 0 then {_heads("digit", "power", "open")} else 0 end as ones
+            from {prefix}_blocks where rest > (1::bigint << power::int))""",
+        f"{prefix}_tree": f"""
+        select {key}, y_true, replicate, base, start, power, 1::bigint as node,
+            case when rest = (1::bigint << power::int) then c else inside end as c
+        from {prefix}_blocks where (rest = (1::bigint << power::int) or digit = {DIGITS} or open = 0)
+          and case when rest = (1::bigint << power::int) then c else inside end > 0
+        union all
+        select * from (select {key}, y_true, replicate, base, start, power, 2 * node + side as node,
+            case side when 0 then ones else c - ones end as c
+          from (select *, unnest([0, 1]) as side from (select *, {_heads("node", f"{TREE} + power", "c")} as ones
+            from {prefix}_tree where node < (1::bigint << power::int)))) where c > 0""",
+        f"{prefix}_drawn": f"""
+        select {key}, y_true, replicate, start + node - (1::bigint << power::int) as place, c as mult
+        from {prefix}_tree where node >= (1::bigint << power::int)""",
+    }
+
+
 COUNTS, RATES = _counts(), _RATES
 _AVG = ", ".join(f"avg({m}) as {m}" for m in METRICS)
 _LIST = ", ".join(METRICS)
@@ -70,15 +123,13 @@ EVALUATION_VIEWS = {
     "seed_summary": """select method, dataset, group_basis, metric, avg(value) as mean,
           stddev_samp(value) as sd, count(value) as n_groups
         from seed_long group by method, dataset, group_basis, metric""",
-    "strata": """select dataset, unit, y_true,
+    "strata": """select dataset, dataset as name, unit, y_true,
           row_number() over (partition by dataset, y_true order by unit) - 1 as place,
           count(*) over (partition by dataset, y_true) as size
         from (select distinct dataset, unit, y_true from predictions)""",
-    "plan": f"""select replicate, dataset, unit, y_true, count(*) as mult
-        from (select dataset, y_true, replicate, h('{SEED}:' || replicate || ':' || dataset || ':'
-              || y_true || ':' || place) % size as place
-            from strata, range(0, {REPLICATES}) r(replicate)) d
-        join strata using (dataset, y_true, place) group by replicate, dataset, unit, y_true""",
+    **_multiplicities("plan", "strata", "dataset", REPLICATES),
+    "plan": """select replicate, dataset, unit, y_true, mult
+        from plan_drawn join strata using (dataset, y_true, place)""",
     "boot_rows": f"""select p.{_W.replace(", ", ", p.")}, replicate, p.y_true, p.y_pred, mult,
           sum(mult) over o - mult as wb, sum(mult * p.y_true) over o - mult * p.y_true as pb,
           sum(mult) over g as wa, sum(mult * p.y_true) over g as pa
@@ -109,7 +160,7 @@ EVALUATION_VIEWS = {
         from boot b join seed_summary s using (method, dataset, metric)
         group by method, dataset, metric""",
     "boot_delta": """select o.method as comparator, o.dataset, o.metric, o.replicate,
-          t.value - o.value as value
+          case when abs(t.value - o.value) <= 1e-12 then 0.0::double else t.value - o.value end as value
         from boot o join boot t on t.method = 'paired' and t.dataset = o.dataset
           and t.metric = o.metric and t.replicate = o.replicate where o.method <> 'paired'""",
     "boot_contrasts": f"""select comparator, d.dataset, d.metric, avg(value) as bootstrap_mean_delta,
@@ -138,20 +189,18 @@ EVALUATION_VIEWS = {
     "effect_values": """select dataset, unit, y_true, metric, value
         from (select dataset, unit, y_true, y, z, joint_index from joint)
         unpivot (value for metric in (y, z, joint_index))""",
-    "effect_strata": """select dataset, unit, y_true,
-          row_number() over (partition by dataset, y_true order by unit) - 1 as place,
-          count(*) over (partition by dataset, y_true) as size from effect_units""",
-    "effect_plan": f"""select replicate, dataset, unit, count(*) as mult
-        from (select dataset, y_true, replicate, h('{SEED}:' || replicate || ':' || dataset || ':'
-              || y_true || ':' || place) % size as place
-            from effect_strata, range(0, {REPLICATES}) r(replicate)) d
-        join effect_strata using (dataset, y_true, place) group by replicate, dataset, unit""",
+    "effect_known": """select dataset, unit, y_true, metric, value from effect_values
+        where not (metric = 'y' and unit % 7 = 3)""",
+    "effect_strata": """select dataset, metric, dataset || ':' || metric as name, unit, y_true, value,
+          row_number() over (partition by dataset, metric, y_true order by unit, value) - 1 as place,
+          count(*) over (partition by dataset, metric, y_true) as size from effect_known""",
+    **_multiplicities("effect", "effect_strata", "dataset, metric", EFFECT_REPLICATES),
     "effect_moments": """select dataset, metric, y_true, replicate, sum(mult) as n,
           sum(mult * value) as s, sum(mult * value * value) as q
-        from effect_values join effect_plan using (dataset, unit)
+        from effect_strata join effect_drawn using (dataset, metric, y_true, place)
         group by dataset, metric, y_true, replicate union all
         select dataset, metric, y_true, null, count(*), sum(value), sum(value * value)
-        from effect_values group by dataset, metric, y_true""",
+        from effect_known group by dataset, metric, y_true""",
     "effect_diffs": """select dataset, metric, replicate, m0 - m1 as mean_difference,
           (m0 - m1) / case when pooled > 1e-9 then pooled end as standardized_difference,
           n0::bigint as n_0, n1::bigint as n_1, m0 as mean_0, m1 as mean_1

@@ -298,5 +298,5 @@ def with_views(sql: str) -> str:
     parts = [f"{name} as ({VIEWS[name]})" for name in ordered]
     if body.lower().startswith("with "):
         lead = "with recursive " if body.lower().startswith("with recursive ") else "with "
-        return _expand(lead + ",\n".join([*parts, body[len(lead) :]]))
-    return _expand(("with " + ",\n".join(parts) + "\n" if parts else "") + body)
+        return _expand("with recursive " + ",\n".join([*parts, body[len(lead) :]]))
+    return _expand(("with recursive " + ",\n".join(parts) + "\n" if parts else "") + body)
