@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pairforge.functions.numeric import ratio
-from pairforge.operators.scaling import durable, running_totals, top_k
+from pairforge.operators.scaling import durable, running_totals, top_k, written
 
 WEIGHT = ("method", "dataset", "weight_id")
 CONFUSION_METRICS = (
@@ -30,11 +31,14 @@ AVERAGE = "external_average"
 def keep_first(predictions: DataFrame, order: str = "row_idx") -> DataFrame:
     """The first row by ``order`` of every weight and unit; later ones are repeats.
 
-    Rows of one place are told apart by their values, so the choice never depends on
-    partitions. The column ``order`` is dropped.
+    ``order`` is unique within a weight and unit, and is dropped. Columns of numbers are
+    picked by a hash aggregation, others need a sort. Several steps read the result, so it is cut.
     """
-    place = [F.col(c) for c in (order, "y_true", "y_prob", "y_pred")]
-    return top_k(predictions, [*WEIGHT, "unit"], place, 1, "_first").drop("_first", order)
+    keys = [*WEIGHT, "unit"]
+    rest = {f.name: f.dataType for f in predictions.schema if f.name not in (*keys, order)}
+    if all(isinstance(t, NumericType) for t in rest.values()):
+        return written(predictions.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in rest]))
+    return written(top_k(predictions, keys, [F.col(order)], 1, "_first").drop("_first", order))
 
 
 def agreeing_weights(predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ the slices together with one small row of totals per (group, slice).
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint folder, read again: computed once, read by column."""
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores on an input of few splits; a scan with enough splits stays as it is.
 

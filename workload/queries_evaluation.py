@@ -109,7 +109,7 @@ def summary(v: Views):
         group by method)""",
 )
 def family_lock(v: Views):
-    return M.family_lock(v.predictions)
+    return M.family_lock(v.repeated_predictions)
 
 
 @query(

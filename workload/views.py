@@ -224,7 +224,7 @@ class Views:
     @cached_property
     def predictions(self) -> DataFrame:
         """The first prediction of every weight and event."""
-        return keep_first(self.repeated_predictions)
+        return keep_first(self.repeated_predictions.drop("family", "method_group"))
 
     @cached_property
     def repeated_predictions(self) -> DataFrame:
