@@ -22,6 +22,7 @@ SUPPORT = 3  # least number of different label-1 texts that show a term
 CHANCE = 0.05  # expected number of terms that pass without telling the labels apart
 BEGINNINGS = (3, 4, 5)
 ODDS = 3.0  # least log ratio of a term's frequency under label 1 to that under label 0
+WORDS_OF_BITS = 1 << 18  # size of the filter of labelled ids, 64 bits each
 DEPENDENT = 0.7  # least correlation that is taken for a dependence between voters
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{4,}\b")
@@ -61,6 +62,20 @@ def different(docs: DataFrame, labels: DataFrame, label: str, id_column: str = "
     return named.groupBy("digest", label).agg(F.min(id_column).alias(id_column)).select(id_column, label)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Rows of ``rows`` whose id may be in ``wanted``: all that are, and a share of the others.
+
+    A filter of ``WORDS_OF_BITS`` words of 64 bits, one bit per id, is broadcast whatever the
+    number of ids, so that a later join shuffles few rows that it drops.
+    """
+    digest = F.xxhash64(F.col(id_column).cast("string"), F.lit("likely"))
+    word, bit = F.pmod(digest, F.lit(WORDS_OF_BITS)), F.pmod(F.shiftright(digest, 40), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bits = wanted.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return marked.where(F.getbit("_bits", bit) == 1).select(*rows.columns)
+
+
 def mine_terms(learning: DataFrame, label: str, text_column: str = "text") -> list[str]:
     """Terms that tell label 1 from label 0, the strongest first.
 
@@ -209,7 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
         return empty
     chosen = stored(different(docs, labels, label, id_column, text_column))
     texts = docs.select(id_column, text_column)
-    terms = mine_terms(texts.join(chosen, id_column), label, text_column)
+    # The same plan at every size: only texts that may be chosen are shuffled.
+    learning = likely(texts, chosen, id_column).join(chosen.hint("merge"), id_column)
+    terms = mine_terms(learning, label, text_column)
     if not terms:
         return empty
     known = Features(terms)
@@ -218,8 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
         sample, [text_column, label], lambda: lambda texts, values: ([known.of(t) for t in texts], values), "found array<int>, label int"
     )
     rows, values = zip(*((r.found, r.label) for r in found.collect()))
-    posterior = label_model(rows, [len(terms) + PATTERNS.index("no_hit")], known.size, sum(values) / len(values))
-    return {"terms": terms, "weights": linear_classifier(rows, known.size, posterior).tolist()}
+    drawn = sum(values) / len(values)
+    posterior = label_model(rows, [len(terms) + PATTERNS.index("no_hit")], known.size, drawn)
+    weights = linear_classifier(rows, known.size, posterior)
+    # The sample holds both labels half and half where there are many; the bias takes that back.
+    held = {r[0]: r[1] for r in chosen.groupBy(label).count().collect()}
+    seen = (sum(values) + 0.5, len(values) - sum(values) + 0.5)
+    weights[-1] += np.log((held.get(1, 0) + 0.5) / (held.get(0, 0) + 0.5)) - np.log(seen[0] / seen[1])
+    return {"terms": terms, "weights": weights.tolist()}
 
 
 def score(docs: DataFrame, model: dict, keep: Sequence[str | Column] = ("doc_id",), text_column: str = "text") -> DataFrame:
