@@ -108,7 +108,11 @@ def near_duplicates(
     schema = f"id {kind}, n_shingles bigint, node bigint, signature array<bigint>"
     read = stored(map_columns(docs, [id_column, text_column], build, schema))
     full = read.where(F.col("node").isNotNull())
-    classes = stored(full.groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")))
+    classes = stored(
+        full.groupBy("node").agg(
+            F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
+        )
+    )
     postings = _postings(classes, coordinates, least_matches)
     links = _links(docs, id_column, text_column, classes, postings, likeness, least_matches)
     labels = components(links)
@@ -148,35 +152,51 @@ def _postings(classes: DataFrame, coordinates: int, least_matches: int) -> DataF
 def _links(docs, id_column, text_column, classes, postings, likeness, least_matches) -> DataFrame:
     """Confirmed links between classes, enough of them to connect every component.
 
-    First each list's least class meets the others of its list. Where that leaves several
-    components in a list, all its pairs across components meet, and links are confirmed.
+    First the class of each list that has the most copies, most likely what the others stem
+    from, meets the others of its list. Where that leaves several components in a list, its
+    crowded lists give a forest of the pairs that agree, and then all pairs of a list across
+    the components that are left meet. Links are confirmed every time.
     """
-    leaders = postings.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = leaders.select("token", "a").join(postings, "token").where("node <> a").select("a", F.col("node").alias("b"))
-    first = stored(_agreeing(star.distinct(), classes, least_matches))
-    links = stored(_confirmed(docs, id_column, text_column, classes, first, likeness))
-    labels = components(links)
+    ranked = postings.join(classes.select("node", "copies"), "node")
+    leaders = ranked.groupBy("token").agg(F.min(F.struct(-F.col("copies"), "node")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = leaders.select("token", "a.node").withColumnRenamed("node", "a").join(postings, "token").where("node <> a")
+    star = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(_confirmed(docs, id_column, text_column, classes, stored(pairs.distinct()), likeness))
+
+    links = confirmed(_agreeing(star.distinct(), classes, least_matches))
+    for forest in (True, False):
+        open_ = _open_lists(postings, components(links))
+        crowded = open_.where(F.col("rows") > SMALL)
+        found = _within_lists(crowded, postings, classes, likeness, least_matches, forest)
+        if not forest:
+            few = open_.where(F.col("rows") <= SMALL)
+            other = few.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
+            mine = few.select("token", F.col("node").alias("a"), "label")
+            across = mine.join(other, "token").where("label <> label_b and a < b").select("a", "b").distinct()
+            found = found.unionByName(_agreeing(across, classes, least_matches))
+        links = links.unionByName(confirmed(found))
+    return links
+
+
+def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """``token, node, label, rows`` of the lists that hold several components."""
     marked = postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).cast("int").alias("rows")
     ).where("low < high")
-    open_ = stored(marked.join(mixed.select("token", "rows"), "token"))
-    few = open_.where(F.col("rows") <= SMALL)
-    other = few.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    across = (
-        few.select("token", F.col("node").alias("a"), "label").join(other, "token").where("label <> label_b and a < b").select("a", "b").distinct()
-    )
-    crowded = _within_lists(open_.where(F.col("rows") > SMALL), postings, classes, likeness, least_matches)
-    found = _agreeing(across, classes, least_matches).unionByName(crowded).distinct()
-    second = stored(found.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    return links.unionByName(stored(_confirmed(docs, id_column, text_column, classes, second, likeness)))
+    return stored(marked.join(mixed.select("token", "rows"), "token"))
 
 
-def _within_lists(rows: DataFrame, postings: DataFrame, classes: DataFrame, likeness: int, least_matches: int) -> DataFrame:
+def _within_lists(
+    rows: DataFrame, postings: DataFrame, classes: DataFrame, likeness: int, least_matches: int, forest: bool
+) -> DataFrame:
     """Agreeing pairs across the components of long lists, each in the first list of both.
 
     A list is cut into blocks and every pair of blocks compared in a task of its own, so
-    only pairs that agree leave the tasks.
+    only pairs that agree leave the tasks; with ``forest`` only so many of them as connect
+    the components that all of them would, the likeliest first.
     """
     own = postings.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("own"))
     full = rows.join(own, "node").join(classes.select("node", "signature", "n"), "node")
@@ -203,11 +223,32 @@ def _within_lists(rows: DataFrame, postings: DataFrame, classes: DataFrame, like
         if chosen.any():
             chosen &= ~_meet_before(left["own"], right["own"], token)
         i, j = np.nonzero(chosen)
+        if forest:
+            kept = _spanning(labels[0][i], labels[1][j], matches[i, j])
+            i, j = i[kept], j[kept]
         return pd.DataFrame({"a": np.minimum(nodes[0][i], nodes[1][j]), "b": np.maximum(nodes[0][i], nodes[1][j])})
 
     return grouped.groupBy("token", "low", "high").applyInPandas(compare, "a bigint, b bigint")
 
 
+def _spanning(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links that connect what all links connect, the heaviest first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for k in np.argsort(-weight.astype(np.int16), kind="stable").tolist():
+        low, high = find(int(first[k])), find(int(second[k]))
+        if low != high:
+            root[high] = low
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
 def _meet_before(left: pd.Series, right: pd.Series, token: int) -> np.ndarray:
     """Which pairs of rows share a list with a lower token than ``token``."""
     sides = [[np.asarray(x, dtype=np.int64) for x in side] for side in (left, right)]

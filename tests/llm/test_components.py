@@ -52,3 +52,33 @@ def test_components_of_nothing(spark):
     none = spark.createDataFrame([(1, 1, "x", "y")], SCHEMA)
     assert components(none).collect() == [] and components(none.limit(0)).collect() == []
     assert components(none).columns == ["node", "label"]
+
+
+def test_crowded_lists_of_near_copies(spark, monkeypatch):
+    """Long lists whose members are linked through others, with the forest pass and after it."""
+    from pairforge.llm import minhash_dedup
+
+    draw, texts = random.Random(31), {}
+    words = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    for i in range(130):
+        own = list(words)
+        for _ in range(draw.choice([0, 2, 4, 6, 9])):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    label = {i: i for i in texts} | expected(links)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == label
+
+
+def test_spanning_keeps_what_connects():
+    import numpy as np
+
+    from pairforge.llm.minhash_dedup import _spanning
+
+    first, second = np.array([1, 1, 2, 4, 5]), np.array([2, 3, 3, 5, 4])
+    kept = _spanning(first, second, np.array([30, 40, 41, 28, 29], np.uint8))
+    assert sorted(kept.tolist()) == [1, 2, 4]
+    assert len(_spanning(first[:0], second[:0], np.zeros(0, np.uint8))) == 0
