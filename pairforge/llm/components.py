@@ -27,14 +27,16 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
     steps: list[DataFrame] = []
     while total := edges.count():
         steps.append(_step(edges, len(steps)))
-        edges = _distinct(followed(edges, ["a", "b"], steps[-1], total))
+        busy = steps[-1].where(F.col("links") * HOT > total).select(F.col("node").alias("_key"), F.col("label").alias("_hot"))
+        edges = _distinct(_looked_up(_looked_up(edges, "a", steps[-1], busy), "b", steps[-1], busy))
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = steps.pop()
     while steps:
-        labels = stored(followed(steps.pop(), ["label"], labels))
+        labels = stored(followed(steps.pop().select("node", "label"), "label", labels))
+    labels = labels.select("node", "label")
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return stored(followed(labels, ["label"], least.select(F.col("label").alias("node"), F.col("least").alias("label"))))
+    return stored(followed(labels, "label", least.select(F.col("label").alias("node"), F.col("least").alias("label"))))
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -50,23 +52,31 @@ def _step(edges: DataFrame, turn: int) -> DataFrame:
 
     ends = edges.select(F.col("a").alias("node"), F.least(place("a"), place("b")).alias("best"))
     ends = ends.union(edges.select(F.col("b"), F.least(place("a"), place("b"))))
-    return stored(ends.groupBy("node").agg(F.min("best").alias("best")).select("node", "best.label"))
+    first = ends.groupBy("node").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("links"))
+    return stored(first.select("node", "best.label", "links"))
 
 
-def followed(rows: DataFrame, columns: list[str], table: DataFrame, total: int | None = None) -> DataFrame:
-    """``rows`` with ``columns`` replaced by the labels that ``table`` (node, label) gives them.
+def followed(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by the label that ``table`` (node, label) gives it.
 
-    Values without a label stay. Hot values are looked up in a broadcast of at most ``HOT``
-    rows, so that no task gets all rows of one value.
+    Values without a label stay.
     """
-    names, start = rows.columns, rows
-    total = start.count() if total is None else total
+    total = rows.count()
     known = table.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    for column in columns:
-        hot = start.groupBy(F.col(column).alias("_key")).count().where(F.col("count") * HOT > total).select("_key")
-        near = hot.join(known, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_label", "_key").alias("_hot"))
-        marked = rows.join(F.broadcast(near), F.col(column) == F.col("_key"), "left").select(*names, "_hot")
-        cold = F.when(F.col("_hot").isNull(), F.col(column)).otherwise(F.xxhash64(*names))  # found rows are dealt out
-        spread = marked.withColumn("_cold", cold).join(known, F.col("_cold") == F.col("_node"), "left")
-        rows = spread.withColumn(column, F.coalesce("_hot", "_label", column)).select(*names)
-    return rows
+    hot = rows.groupBy(F.col(column).alias("_key")).count().where(F.col("count") * HOT > total).select("_key")
+    busy = hot.join(known, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_label", "_key").alias("_hot"))
+    return _looked_up(rows, column, table, busy)
+
+
+def _looked_up(rows: DataFrame, column: str, table: DataFrame, busy: DataFrame) -> DataFrame:
+    """As ``followed``; the hot values' labels in ``busy`` are broadcast.
+
+    At most ``HOT`` values are hot (twice that, of both ends of links), so that no task gets
+    all rows of one value.
+    """
+    names = rows.columns
+    known = table.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    marked = rows.join(F.broadcast(busy), F.col(column) == F.col("_key"), "left").select(*names, "_hot")
+    cold = F.when(F.col("_hot").isNull(), F.col(column)).otherwise(F.xxhash64(*names))  # found rows are dealt out
+    spread = marked.withColumn("_cold", cold).join(known, F.col("_cold") == F.col("_node"), "left")
+    return spread.withColumn(column, F.coalesce("_hot", "_label", column)).select(*names)

@@ -169,6 +169,8 @@ def _links(docs, id_column, text_column, classes, postings, likeness, least_matc
     for forest in (True, False):
         open_ = _open_lists(postings, components(links))
         crowded = open_.where(F.col("rows") > SMALL)
+        if forest and crowded.isEmpty():
+            continue
         found = _within_lists(crowded, postings, classes, likeness, least_matches, forest)
         if not forest:
             few = open_.where(F.col("rows") <= SMALL)
