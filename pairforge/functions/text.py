@@ -38,14 +38,21 @@ def after_last_marker(text: Column, marker: str = MARKER) -> Column:
     return strip(F.substring_index(text, marker, -1))
 
 
+# The role prefixes that a completion may begin with.
+ROLE_PREFIXES = (
+    r"(?U)^\s*(?:ASSISTANT|assistant)\s*:\s*",
+    r"(?U)^\s*(?:USER|user)\s*:\s*",
+)
+
+
 def clean_completion(text: Column) -> tuple[Column, Column]:
     """Completion without one leading role prefix, and its status.
 
     The status is ``ok``, ``empty`` or ``marker`` (a role marker is left inside).
     """
     value = strip(text)
-    for role in ("(?:ASSISTANT|assistant)", "(?:USER|user)"):
-        value = F.regexp_replace(value, rf"(?U)^\s*{role}\s*:\s*", "")
+    for prefix in ROLE_PREFIXES:
+        value = F.regexp_replace(value, prefix, "")
     status = (
         F.when(value == "", "empty")
         .when(value.contains("USER:") | value.contains(MARKER), "marker")

@@ -17,14 +17,14 @@ from pairforge.sources import files, tables
 @pytest.fixture(scope="module")
 def texts(spark):
     return spark.createDataFrame(
-        [(0, "the boy takes a cookie", 1), (1, "mother washes", 0), (2, "!!", 0)],
+        [(0, "a sailor mends the net", 1), (1, "rain falls", 0), (2, "!!", 0)],
         "source_id bigint, text1 string, label int",
     )
 
 
 @pytest.fixture(scope="module")
 def synonyms(spark):
-    return spark.createDataFrame([("boy", ["child"]), ("cookie", ["biscuit"])], "word string, synonyms array<string>")
+    return spark.createDataFrame([("sailor", ["seaman"]), ("net", ["mesh"])], "word string, synonyms array<string>")
 
 
 def test_training_table_has_two_variants_per_source(texts, synonyms):
@@ -32,17 +32,17 @@ def test_training_table_has_two_variants_per_source(texts, synonyms):
     assert Counter((r["source_id"], r["seed"]) for r in table) == {(0, 1): 2, (0, 2): 2, (1, 1): 2, (1, 2): 2, (2, 1): 1, (2, 2): 1}
     assert {r["aug_index"] for r in table} == {0, 1}
     full = G.training_table(texts.where("source_id = 0"), synonyms, [1], TokenEditSettings(include_original=True)).collect()
-    assert [r["text1"] for r in full if r["is_original"]] == ["the boy takes a cookie"]
+    assert [r["text1"] for r in full if r["is_original"]] == ["a sailor mends the net"]
 
 
 def test_techniques(texts, synonyms):
     rows = {r["technique"]: r["text"] for r in G.edited_texts(texts.where("source_id = 0"), synonyms, [5]).collect()}
-    words = Counter("the boy takes a cookie".split())
-    assert Counter(rows["swap"].split()) == words and rows["swap"] != "the boy takes a cookie"
+    words = Counter("a sailor mends the net".split())
+    assert Counter(rows["swap"].split()) == words and rows["swap"] != "a sailor mends the net"
     replaced = Counter(rows["replace"].split())
-    assert sum((replaced - words).values()) == 1 and set(replaced - words) <= {"child", "biscuit"}
+    assert sum((replaced - words).values()) == 1 and set(replaced - words) <= {"seaman", "mesh"}
     inserted = rows["insert"].split()
-    assert len(inserted) in (5, 6) and inserted[-1] == "cookie"
+    assert len(inserted) in (5, 6) and inserted[-1] == "net"
     assert set(rows["delete"].split()) <= set(words) and rows["delete"]
 
 
