@@ -44,8 +44,23 @@ _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def attributes(inside: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(inside):
+        found.setdefault(name.lower(), double or single or bare)
+    return found
+
+
+def hidden(found: dict[str, str]) -> bool:
+    """Whether the attributes ``hidden`` (but not until found), ``aria-hidden`` or ``style`` hide an element."""
+    if "hidden" in found and found["hidden"].strip().lower() != "until-found":
+        return True
+    shown = "".join(found.get("style", "").lower().split())
+    return found.get("aria-hidden", "").strip().lower() == "true" or "display:none" in shown
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
@@ -98,12 +113,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 if not any(s[0] in BLOCKS for s in stack[k + 1 :]):
                     del stack[k:]
         said = 0
-        named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4]))
+        found = attributes(m[4])
+        named = " ".join(found[a] for a in ("class", "id", "role") if a in found)
         if name in DROPPED and not (name == "header" and any(s == 1 for _, s in stack)):
             said = -1
         elif name in ("article", "main") or re.search(r"(?:^|\s)main(?:$|\s)", named):
             said = 1
-        if name not in ("html", "body") and (NAMES.search(named) or _HIDDEN.search(m[4])):
+        if name not in ("html", "body") and (NAMES.search(named) or hidden(found)):
             said = -1
         if name in BLOCKS or name in DROPPED or said:
             stack.append((name, said))

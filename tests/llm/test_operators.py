@@ -370,3 +370,12 @@ def test_language_model(spark, odd):
 
 def test_all_thirteen_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("inside, kept", [
+    ('title="hidden gems"', True), ('data-hidden="0"', True), ('title="class=ad"', True), ('data-role="menu"', True),
+    ("hidden=until-found", True), ('style="color:red"', True), ("hidden", False), ("HIDDEN=''", False), ("aria-hidden = true", False),
+    ('style="Display : none"', False), ('class="ad"', False), ("id=sidebar", False),
+])
+def test_attributes_that_hide(inside, kept):
+    assert html_extraction.blocks(f"<article><p>one</p><div {inside}>two</div></article>")[1] == ("two", 1 if kept else -1)
