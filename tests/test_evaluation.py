@@ -302,3 +302,11 @@ def test_null_groups_keep_their_quartiles(spark):
     data = [(None, "x", 0, float(v)) for v in range(5)] + [("d", "x", 0, 7.0)]
     out = E.describe(spark.createDataFrame(data, "dataset string, metric string, y_true int, value double"))
     assert {(r.dataset, r.q1, r["median"], r.q3) for r in out.collect()} == {(None, 1.0, 2.0, 3.0), ("d", 7.0, 7.0, 7.0)}
+
+
+def test_keep_first_deals_many_predictions_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "KEPT_ROWS", 20)
+    data = [(0, *r) for r in rows("d", [0, 1] * 100, [0.4] * 200)] + [(1, *r) for r in rows("d", [1, 0] * 100, [0.9] * 200)]
+    kept = M.keep_first(spark.createDataFrame(data, f"row_idx int, {DDL}"))
+    assert len(kept.inputFiles()) > 4
+    assert sorted((r["unit"], r["y_true"], r["y_prob"]) for r in kept.collect()) == [(i, i % 2, 0.4) for i in range(200)]

@@ -82,3 +82,11 @@ def test_null_groups_stay_on_both_sides_of_the_group_limit(spark):
     assert few == many and len(few) == 60
     medians = {r.g: r.q for r in S.exact_quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
     assert set(medians) == {None, "g"}
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "SCAN_ROWS", 50)
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    dealt = S.spread(spark.read.parquet(str(tmp_path / "t")))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 60
