@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pairforge.functions import numeric as N
 from pairforge.functions import text as X
 from pairforge.functions.chunking import chunk_tokens, chunks
 from pairforge.operators.prompts import render_prompts, rule_scan
@@ -90,3 +91,14 @@ def test_rule_scan(spark):
     )
     found = {(r["id"], r["rule"]) for r in rule_scan(rows, "id", "text").collect()}
     assert found == {(1, "absolute_path"), (2, "credential_literal")}
+
+
+def test_cells_round_numbers_as_they_are_stored(spark):
+    df = spark.createDataFrame([(0.25, 0.15), (0.35, 0.45), (-0.04, None), (None, 1.0)], "a double, b double")
+    cells = df.select(N.mean_sd_cell(F.col("a"), F.col("b"), 1.0), N.range_cell(F.col("a"), F.col("b"), 1.0), N.interval_cell(F.col("a"), F.col("a"), F.col("b"), 1.0))
+    assert [tuple(r) for r in cells.collect()] == [
+        ("0.2 ± 0.1", "0.2–0.1", "0.2 [0.2, 0.1]"),
+        ("0.3 ± 0.5", "0.3–0.5", "0.3 [0.3, 0.5]"),
+        ("-0.0 ± NaN", "--", "-0.0 [-0.0, null]"),
+        ("--", "--", "--"),
+    ]
