@@ -29,3 +29,9 @@ def test_sample_of_queries_against_sql(spark, name):
     names = [d[0] for d in cursor.description]
     expected = sorted(map(str, (tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())))
     assert got == expected
+
+
+def test_prediction_lock_query_reads_the_families(spark):
+    locked = entry_module.queries()["S6_prediction_lock"](spark, SF).collect()
+    assert {r["dataset"] for r in locked} == {"ext_a", "ext_b"} and {r["method"] for r in locked} == {"paired", "edit"}
+    assert len({(r["method"], r["weight_id"], r["unit"]) for r in locked}) == len(locked)

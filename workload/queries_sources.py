@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairforge.operators.coverage import breadth_depth_arrays
 from pairforge.operators.detections import suppress
 from pairforge.operators.embed import embed_texts
+from pairforge.operators.metrics import keep_first
 from pairforge.operators.scaling import checkpoint_folder
 from pairforge.plans.pairing import build_pairs
 from pairforge.sources import files as X
@@ -127,8 +128,11 @@ def read_pairs(v: Views):
         and method in ('paired', 'edit')""",
 )
 def prediction_lock(v: Views):
-    lock = S.prediction_lock(v.predictions, EXTERNAL, ("paired", "edit"))
-    return rounded(lock.drop("family", "method_group"))
+    methods = ("paired", "edit")
+    wanted = F.col("dataset").isin(*EXTERNAL) & F.col("method").isin(*methods)
+    # The lock carries the families, which the metrics' view of the predictions leaves out.
+    first = keep_first(v.repeated_predictions.where(wanted))
+    return rounded(S.prediction_lock(first, EXTERNAL, methods).drop("family", "method_group"))
 
 
 @query(
