@@ -228,3 +228,40 @@ def test_missing_role_fails_the_selection(spark):
     with pytest.raises(Exception, match="other roles"):
         S.select_checkpoint(metric_rows(spark, rows), "cv_validation", "accuracy")
     assert S.select_checkpoint(metric_rows(spark, rows[:1]), " CV_Validation", "Accuracy").first()["checkpoint"] == "a"
+
+
+def test_references_are_not_written_once_per_small_block(spark):
+    rows = spark.range(3000).select(F.col("id").alias("query_id"), F.array(F.rand(1), F.rand(2)).alias("vec"))
+    n_query, n_ref = R.search_parts(rows, rows)
+    assert n_ref == 1 and n_query <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("task_bytes", [1 << 25, 2048])
+def test_short_vectors_with_ties_and_filters_match_brute_force(spark, monkeypatch, task_bytes):
+    monkeypatch.setattr(R, "TASK_BYTES", task_bytes)
+    rng = np.random.default_rng(4)
+    spots = np.round(rng.normal(size=(700, 2)), 1)
+    labels, folds = rng.integers(0, 2, 700), rng.integers(0, 3, 700)
+    data = [(i, [float(a) for a in p], int(x), int(f)) for i, (p, x, f) in enumerate(zip(spots, labels, folds))]
+    flat = spark.createDataFrame(data, "id bigint, vec array<double>, label int, fold int")
+    found = R.nearest(
+        flat.withColumnRenamed("id", "query_id"), flat.withColumnRenamed("id", "ref_id"), 7,
+        metric="euclidean", within="label", across="fold", block_rows=64,
+    ).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["ref_id"])
+    for i in range(700):
+        distance = np.round(np.sqrt(((spots[i] - spots) ** 2).sum(axis=1)), 9)
+        allowed = np.flatnonzero((labels == labels[i]) & (folds != folds[i]))
+        assert got[i] == [int(j) for j in allowed[np.lexsort((allowed, distance[allowed]))][:7]]
+
+
+def test_rates_of_shared_vectors_equal_those_of_every_query(spark):
+    rng = np.random.default_rng(6)
+    refs = spark.createDataFrame([(i, [float(a) for a in v], int(i % 2)) for i, v in enumerate(rng.normal(size=(60, 4)))], "ref_id bigint, vec array<double>, label int")
+    own = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(9, 4)))], "query_id bigint, vec array<double>")
+    rates = {(r["query_id"], r["label"]): r["opposite_rate"] for r in R.opposite_rates(own, refs, (0, 1), 5).collect()}
+    for label in (0, 1):
+        each = R.knn_contamination(own.withColumn("label", F.lit(label)), refs, 5).collect()
+        assert {r["query_id"]: r["opposite_rate"] for r in each} == {q: x for (q, y), x in rates.items() if y == label}
