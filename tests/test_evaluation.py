@@ -310,3 +310,25 @@ def test_keep_first_deals_many_predictions_to_more_tasks(spark, monkeypatch):
     kept = M.keep_first(spark.createDataFrame(data, f"row_idx int, {DDL}"))
     assert len(kept.inputFiles()) > 4
     assert sorted((r["unit"], r["y_true"], r["y_prob"]) for r in kept.collect()) == [(i, i % 2, 0.4) for i in range(200)]
+
+
+def test_tosses_of_a_large_stratum_are_taken_many_at_once(monkeypatch):
+    from pairforge.functions import resampling as P
+
+    base, calls = bases(1, 0, 3, "d", 1), []
+    mixed = P._mixed
+    monkeypatch.setattr(P, "_mixed", lambda x: calls.append(1) or mixed(x))
+    many = P.heads(base, np.array([1, 2]), 5, np.full((2, 3), 100_000))
+    assert len(calls) < 100
+    monkeypatch.setattr(P, "HASHES", 1)
+    assert (many == P.heads(base, np.array([1, 2]), 5, np.full((2, 3), 100_000))).all()
+
+
+def test_slices_that_do_not_fit_take_fewer_replicates_at_once(cohorts, monkeypatch):
+    _, df = cohorts
+    settings = BootstrapSettings(replicates=30)
+    whole = {tuple(r[:4]): r["value"] for r in B.replicate_metrics(df, settings).collect()}
+    assert len(B._slice_blocks(settings, 1000)) == 1
+    monkeypatch.setattr(B, "SLICE_BYTES", 100)
+    assert len(B._slice_blocks(settings, 50)) == 30
+    assert whole == {tuple(r[:4]): r["value"] for r in B.replicate_metrics(df, settings).collect()}
