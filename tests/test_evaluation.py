@@ -312,6 +312,14 @@ def test_keep_first_deals_many_predictions_to_more_tasks(spark, monkeypatch):
     assert sorted((r["unit"], r["y_true"], r["y_prob"]) for r in kept.collect()) == [(i, i % 2, 0.4) for i in range(200)]
 
 
+def test_keep_first_deals_by_rows_where_bytes_would_merge_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "KEPT_ROWS", 150)
+    data = [(k, *r) for k in (0, 1) for r in rows("d", [k, 1 - k] * 100, [0.4 + 0.5 * k] * 200)]
+    kept = M.keep_first(spark.createDataFrame(data, f"row_idx int, {DDL}"))
+    assert len(kept.inputFiles()) >= 3
+    assert sorted((r["unit"], r["y_true"], r["y_prob"]) for r in kept.collect()) == [(i, i % 2, 0.4) for i in range(200)]
+
+
 def test_tosses_of_a_large_stratum_are_taken_many_at_once(monkeypatch):
     from pairforge.functions import resampling as P
 
