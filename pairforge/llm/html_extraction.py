@@ -190,7 +190,10 @@ def extract(
         ).alias("blocks"))
     )
     dropped = _covered(outside, least, covered)
-    joined = parsed.join(dropped, "row", "left")
+    # Only pages with blocks that the markup leaves open lose any, so only their texts are shuffled.
+    undecided = F.exists("said", lambda s: s == 0)
+    none = F.lit(None).cast("array<int>").alias("places")
+    joined = parsed.where(undecided).join(dropped, "row", "left").unionByName(parsed.where(~undecided).select("*", none))
     kept = F.filter(
         F.transform(
             F.arrays_zip("texts", "said"),

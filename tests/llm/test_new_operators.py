@@ -232,3 +232,14 @@ def test_private_data_query(spark):
         joined = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert not joined or set(joined.split(",")) <= set(r.spans.split(","))
+
+
+def test_pages_that_markup_decides_are_not_shuffled(spark):
+    from pairforge.llm import html_extraction
+
+    rows = [(1, "http://h/1", "<article><p>one two</p></article><nav>menu</nav>"), (2, "http://h/2", "<p>three</p>"), (3, None, None)]
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert sorted((r.page_id, r.text) for r in found.collect()) == [(1, "one two"), (2, "three"), (3, "")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter") :].splitlines()
+    assert plan.lstrip().startswith("Union") and "exists(said" in "".join(joined[:4])
