@@ -236,6 +236,27 @@ def test_references_are_not_written_once_per_small_block(spark):
     assert n_ref == 1 and n_query <= spark.sparkContext.defaultParallelism
 
 
+def test_the_larger_side_of_a_search_is_not_repeated_for_every_core():
+    wide, many = (20_000, 64, True), (42_384, 64, True)
+    n_query, n_ref = R._grid(wide, many, 10, 8)
+    assert n_query * n_ref >= 8 and 20_000 * n_ref + 42_384 * n_query < 20_000 + 42_384 * 8
+    assert R._grid(many, (5, 64, True), 10, 8) == (8, 1)
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_single_precision_is_written_only_where_it_is_exact(spark, single):
+    rng = np.random.default_rng(5)
+    spots = rng.normal(size=(900, 16)).astype(np.float32 if single else np.float64).astype(np.float64)
+    flat = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(spots)], "id bigint, vec array<double>")
+    assert R._sizes(flat) == (900, 16, single) and R._sizes(flat.limit(0))[0] == 0
+    found = R.nearest(flat.withColumnRenamed("id", "query_id"), flat.withColumnRenamed("id", "ref_id"), 3).collect()
+    unit = spots / np.linalg.norm(spots, axis=1)[:, None]
+    distance = np.round(1 - unit @ unit.T, 9)
+    got = {(r["query_id"], r["rank"]): r["ref_id"] for r in found}
+    for i in range(900):
+        assert [got[i, k] for k in (1, 2, 3)] == np.lexsort((np.arange(900), distance[i]))[:3].tolist()
+
+
 @pytest.mark.parametrize("task_bytes", [1 << 25, 2048])
 def test_short_vectors_with_ties_and_filters_match_brute_force(spark, monkeypatch, task_bytes):
     monkeypatch.setattr(R, "TASK_BYTES", task_bytes)
