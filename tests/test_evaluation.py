@@ -312,6 +312,13 @@ def test_keep_first_deals_many_predictions_to_more_tasks(spark, monkeypatch):
     assert sorted((r["unit"], r["y_true"], r["y_prob"]) for r in kept.collect()) == [(i, i % 2, 0.4) for i in range(200)]
 
 
+def test_resample_plan_is_never_broadcast(spark):
+    plan = B.resample_plan(spark.createDataFrame(rows("d", [0, 1] * 50, [0.4] * 100), DDL), BootstrapSettings(replicates=8))
+    assert sum(r["mult"] for r in plan.collect()) == 800
+    joins = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0] and "place" in joins[0]
+
+
 def test_keep_first_deals_by_rows_where_bytes_would_merge_tasks(spark, monkeypatch):
     monkeypatch.setattr(M, "KEPT_ROWS", 150)
     data = [(k, *r) for k in (0, 1) for r in rows("d", [k, 1 - k] * 100, [0.4 + 0.5 * k] * 200)]
