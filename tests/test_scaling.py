@@ -45,6 +45,22 @@ def test_running_totals_and_following_minimum(skewed):
             assert lows[key] == best
 
 
+def test_running_totals_deal_rows_once_behind_the_slices(spark):
+    """The offsets of the slices are no join, which would deal and sort all rows once more."""
+    groups = [("a", None), (None, 1), (None, None), ("a", 1)]
+    rows = [(g, h, i % 7, i) for i in range(400) for g, h in groups]
+    df = spark.createDataFrame(rows, "g string, h int, x int, id int")
+    placed = S.running_totals(df, ["g", "h"], ["x", "id"], {"n": F.lit(1), "s": F.col("x")}, 9)
+    assert "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["g"], r["h"], r["id"]): (r["n_before"], r["s_before"], r["n_all"], r["s_all"]) for r in placed.collect()}
+    assert len(got) == len(rows)
+    for g, h in groups:
+        before, total = 0, sum(i % 7 for i in range(400))
+        for place, (x, i) in enumerate(sorted((i % 7, i) for i in range(400))):
+            assert got[g, h, i] == (place, before, 400, total)
+            before += x
+
+
 def test_mid_ranks(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 2.0), (1, 5.0), (1, None)], "g int, x double")
     ranks = {r["x"]: r["mid_rank"] for r in S.mid_ranks(df, ["g"], "x").collect()}
