@@ -347,3 +347,21 @@ def test_slices_that_do_not_fit_take_fewer_replicates_at_once(cohorts, monkeypat
     monkeypatch.setattr(B, "SLICE_BYTES", 100)
     assert len(B._slice_blocks(settings, 50)) == 30
     assert whole == {tuple(r[:4]): r["value"] for r in B.replicate_metrics(df, settings).collect()}
+
+
+def test_counts_of_coins_stay_small_below_the_known_nodes(monkeypatch):
+    """Wide counts would move eight bytes a node and replicate through every level."""
+    from pairforge.functions import resampling as P
+
+    monkeypatch.setattr(P, "KNOWN", 16)
+    size, base = 5000, P.bases(3, 0, 7, "val", 1)
+    tree, seen, plain = P.Multiplicities(base, size), [], P.heads
+
+    def watched(base, node, kind, tosses):
+        seen.append((tosses.dtype.itemsize, int(tosses.max(initial=0))))
+        return plain(base, node, kind, tosses)
+
+    monkeypatch.setattr(P, "heads", watched)
+    mult = tree.of(np.arange(size), np.uint16)
+    assert (mult.sum(axis=0) == size).all() and mult.dtype == np.uint16
+    assert seen and all(width == (1 if most < 256 else 2) for width, most in seen)
