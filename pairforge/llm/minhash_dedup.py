@@ -5,7 +5,8 @@ classes are compared. A signature holds one minimum per coordinate; two sets of
 likeness agree in at least ``least_matches`` of them. Of every signature only the rarest
 values are posted in inverted lists (a prefix: agreeing pairs must meet in one of them), so
 values that many texts share are skipped. Pairs that meet are kept if their signatures agree
-often enough, and linked only if the full sets confirm it.
+often enough, and linked only if the full sets confirm it. Pairs of a long list are confirmed
+inside its blocks, so that only links which connect something leave them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,11 @@ WORDS = 5
 COORDINATES = 48
 MATCHES = 28  # a pair of likeness 0.85 has fewer with probability under one in 100,000
 LIKENESS = 85  # in hundredths
-KEPT = 400_000
+KEPT = 50_000  # token hashes that a task keeps
 SMALL = 32  # longest list whose pairs are formed by a plain join
 BLOCK = 512  # rows of a longer list that are compared at once
+BLOCK_SHINGLES = 1 << 20  # shingles of them, about
+COLUMNS = 4096  # shingles that are counted at once
 BROADCAST = 1_000_000  # most ids that are sent to all executors
 
 
@@ -155,7 +159,8 @@ def _links(docs, id_column, text_column, classes, postings, likeness, least_matc
     First the class of each list that has the most copies, most likely what the others stem
     from, meets the others of its list. Where that leaves several components in a list, its
     crowded lists give a forest of the pairs that agree, and then all pairs of a list across
-    the components that are left meet. Links are confirmed every time.
+    the components that are left meet: as pairs those of short lists, and inside blocks those
+    of crowded ones. Links are confirmed every time.
     """
     ranked = postings.join(classes.select("node", "copies"), "node")
     leaders = ranked.groupBy("token").agg(F.min(F.struct(-F.col("copies"), "node")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -172,13 +177,15 @@ def _links(docs, id_column, text_column, classes, postings, likeness, least_matc
         if forest and crowded.isEmpty():
             continue
         found = _within_lists(crowded, postings, classes, likeness, least_matches, forest)
-        if not forest:
-            few = open_.where(F.col("rows") <= SMALL)
-            other = few.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            mine = few.select("token", F.col("node").alias("a"), "label")
-            across = mine.join(other, "token").where("label <> label_b and a < b").select("a", "b").distinct()
-            found = found.unionByName(_agreeing(across, classes, least_matches))
-        links = links.unionByName(confirmed(found))
+        if forest:
+            links = links.unionByName(confirmed(found))
+            continue
+        links = links.unionByName(stored(_confirmed_within(docs, id_column, text_column, classes, stored(found), likeness)))
+        few = open_.where(F.col("rows") <= SMALL)
+        other = few.select("token", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        mine = few.select("token", F.col("node").alias("a"), "label")
+        across = mine.join(other, "token").where("label <> label_b and a < b").select("a", "b").distinct()
+        links = links.unionByName(confirmed(_agreeing(across, classes, least_matches)))
     return links
 
 
@@ -194,15 +201,17 @@ def _open_lists(postings: DataFrame, labels: DataFrame) -> DataFrame:
 def _within_lists(
     rows: DataFrame, postings: DataFrame, classes: DataFrame, likeness: int, least_matches: int, forest: bool
 ) -> DataFrame:
-    """Agreeing pairs across the components of long lists, each in the first list of both.
+    """What agrees across the components of long lists, each pair in the first list of both.
 
-    A list is cut into blocks and every pair of blocks compared in a task of its own, so
-    only pairs that agree leave the tasks; with ``forest`` only so many of them as connect
-    the components that all of them would, the likeliest first.
+    A list is cut into blocks and every pair of blocks compared in a task of its own. With
+    ``forest`` pairs ``a, b`` leave the tasks, only so many as connect the components that all
+    of them would, the likeliest first. Else the rows that agree with any other leave them,
+    each once per pair of blocks: ``token, low, high, block, node, label``.
     """
+    words = rows.join(classes.select("node", "n"), "node").groupBy("token").agg(F.sum("n").alias("words"))
     own = postings.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("own"))
-    full = rows.join(own, "node").join(classes.select("node", "signature", "n"), "node")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    full = rows.join(words, "token").join(own, "node").join(classes.select("node", "signature", "n"), "node")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int")
     spread = full.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))
     )
@@ -212,7 +221,7 @@ def _within_lists(
         token, low, high = (int(group[c].iloc[0]) for c in ("token", "low", "high"))
         left, right = group[group["block"] == low], group[group["block"] == high]
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return pd.DataFrame({name: np.zeros(0, np.int64) for name in names})
         signatures = [np.stack(side["signature"].to_numpy()) for side in (left, right)]
         matches = np.zeros((len(left), len(right)), dtype=np.uint8)
         for k in range(signatures[0].shape[1]):
@@ -224,13 +233,69 @@ def _within_lists(
             chosen &= nodes[0][:, None] < nodes[1]
         if chosen.any():
             chosen &= ~_meet_before(left["own"], right["own"], token)
+        if not forest:
+            sides = ((left, low, chosen.any(axis=1)), (right, high, chosen.any(axis=0)))
+            if low == high:
+                sides = ((left, low, chosen.any(axis=1) | chosen.any(axis=0)),)
+            parts = [side.loc[agrees, ["token", "low", "high", "node", "label"]].assign(block=block) for side, block, agrees in sides]
+            return pd.concat(parts)[names]
         i, j = np.nonzero(chosen)
-        if forest:
-            kept = _spanning(labels[0][i], labels[1][j], matches[i, j])
-            i, j = i[kept], j[kept]
+        kept = _spanning(labels[0][i], labels[1][j], matches[i, j])
+        i, j = i[kept], j[kept]
+        return pd.DataFrame({"a": np.minimum(nodes[0][i], nodes[1][j]), "b": np.maximum(nodes[0][i], nodes[1][j])})
+
+    names = ["a", "b"] if forest else ["token", "low", "high", "block", "node", "label"]
+    kinds = {name: "int" if name in ("low", "high", "block") else "bigint" for name in names}
+    return grouped.groupBy("token", "low", "high").applyInPandas(compare, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def _confirmed_within(docs, id_column, text_column, classes, rows, likeness) -> DataFrame:
+    """Links ``a, b`` between ``rows`` of the same pair of blocks whose full sets are alike enough.
+
+    All pairs across components are compared inside the task; of the links only so many leave
+    it as connect the components that all of them would.
+    """
+    sets = _sets(docs, id_column, text_column, classes, rows.select("node").distinct())
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
+        left, right = group[group["block"] == low], group[group["block"] == high]
+        both = _overlaps(left["members"], right["members"])
+        labels, nodes = ([side[c].to_numpy() for side in (left, right)] for c in ("label", "node"))
+        sizes = [side["members"].map(len).to_numpy(dtype=np.int64) for side in (left, right)]
+        either = sizes[0][:, None] + sizes[1] - both
+        i, j = np.nonzero((100 * both >= likeness * either) & (labels[0][:, None] != labels[1]))
+        kept = _spanning(labels[0][i], labels[1][j], 100 * both[i, j] // either[i, j])
+        i, j = i[kept], j[kept]
         return pd.DataFrame({"a": np.minimum(nodes[0][i], nodes[1][j]), "b": np.maximum(nodes[0][i], nodes[1][j])})
 
-    return grouped.groupBy("token", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+    return rows.join(sets, "node").groupBy("token", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _overlaps(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, a row per set of ``left``."""
+    sides = [[np.asarray(x, dtype=np.int64) for x in side] for side in (left, right)]
+    flats = [np.concatenate([np.zeros(0, np.int64), *side]) for side in sides]
+    shared = np.intersect1d(*flats)
+    placed = []
+    for side, flat in zip(sides, flats):
+        rows = np.repeat(np.arange(len(side)), np.array([len(x) for x in side], dtype=np.int64))
+        at = np.searchsorted(shared, flat)
+        known = at < len(shared)
+        known[known] = shared[at[known]] == flat[known]
+        rows, at = rows[known], at[known]
+        order = np.argsort(at, kind="stable")
+        placed.append((rows[order], at[order]))
+    total = np.zeros((len(sides[0]), len(sides[1])), dtype=np.int64)
+    for first in range(0, len(shared), COLUMNS):
+        grids = []
+        for side, (rows, at) in zip(sides, placed):
+            low, high = np.searchsorted(at, (first, first + COLUMNS))
+            grid = np.zeros((len(side), min(COLUMNS, len(shared) - first)), dtype=np.float32)
+            grid[rows[low:high], at[low:high] - first] = 1
+            grids.append(grid)
+        total += (grids[0] @ grids[1].T).astype(np.int64)
+    return total
 
 
 def _spanning(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -274,9 +339,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least_matches: int) -> DataF
     return agreeing.select("a", "b")
 
 
-def _confirmed(docs, id_column, text_column, classes, pairs, likeness) -> DataFrame:
-    """Pairs whose full sets are alike enough; one text of each class is read again."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs, id_column, text_column, classes, ends) -> DataFrame:
+    """``node, members`` of the classes in ``ends``; one text of each class is read again."""
     wanted = stored(classes.select("node", "id").join(ends, "node"))
     ids = wanted.select(F.col("id").alias(id_column))
     if wanted.count() <= BROADCAST:
@@ -285,30 +349,25 @@ def _confirmed(docs, id_column, text_column, classes, pairs, likeness) -> DataFr
     def build():
         def step(texts):
             found = [shingles(t) for t in texts]
-            return [signed(xxhash.xxh3_64_intdigest(f.tobytes())) for f in found], [f.tobytes() for f in found]
+            places = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            nodes = [signed(xxhash.xxh3_64_intdigest(f.tobytes())) for f in found]
+            return nodes, pa.ListArray.from_arrays(pa.array(places), pa.array(flat))
 
         return step
 
     texts = docs.select(id_column, text_column).join(ids, id_column, "left_semi")
-    sets = map_columns(texts, [text_column], build, "node bigint, members binary")
+    sets = map_columns(texts, [text_column], build, "node bigint, members array<bigint>")
     one = Window.partitionBy("node").orderBy("members")
-    sets = stored(sets.join(wanted.select("node"), "node", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
-
-    def compare():
-        def step(a, b, of_a, of_b):
-            alike = []
-            for x, y in zip(of_a, of_b):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                alike.append(100 * both >= likeness * (len(x) + len(y) - both))
-            return [v for v, ok in zip(a, alike) if ok], [v for v, ok in zip(b, alike) if ok]
+    return stored(sets.join(wanted.select("node"), "node", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"))
 
-        return step
 
+def _confirmed(docs, id_column, text_column, classes, pairs, likeness) -> DataFrame:
+    """Pairs whose full sets are alike enough."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, id_column, text_column, classes, ends)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b"
     )
-    return map_columns(joined, ["a", "b", "of_a", "of_b"], compare, "a bigint, b bigint", rows=64)
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return joined.where(100 * both >= likeness * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")

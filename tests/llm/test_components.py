@@ -82,3 +82,47 @@ def test_spanning_keeps_what_connects():
     kept = _spanning(first, second, np.array([30, 40, 41, 28, 29], np.uint8))
     assert sorted(kept.tolist()) == [1, 2, 4]
     assert len(_spanning(first[:0], second[:0], np.zeros(0, np.uint8))) == 0
+
+
+def test_crowd_of_texts_that_nearly_link_makes_few_pairs(spark, monkeypatch):
+    """Signatures of one origin's copies agree, few of their sets do: the pairs stay in the blocks."""
+    from pairforge.llm import minhash_dedup
+
+    met, real = [], minhash_dedup._confirmed
+
+    def counted(docs, id_column, text_column, classes, pairs, likeness):
+        met.append(pairs.count())
+        return real(docs, id_column, text_column, classes, pairs, likeness)
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", counted)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 64)
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", 100, raising=False)
+    monkeypatch.setattr(minhash_dedup, "SMALL", 4)
+    draw, texts = random.Random(41), {}
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    for i in range(120):
+        own = list(words)
+        for at in draw.sample(range(300), draw.choice([2, 6, 7, 8])):
+            own[at] = f"x{draw.randrange(10**6)}"
+        texts[i] = " ".join(own)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    label = {i: i for i in texts} | expected(links)
+    assert len(set(label.values())) > 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs).collect()} == label
+    assert max(met) < 20 * len(texts), met
+
+
+def test_overlaps_equal_brute_force():
+    import numpy as np
+    import pandas as pd
+
+    from pairforge.llm import minhash_dedup
+
+    draw = random.Random(43)
+    left, right = ([sorted(draw.sample(range(-9000, 9000), draw.randrange(4000))) for _ in range(n)] for n in (7, 5))
+    got = minhash_dedup._overlaps(*(pd.Series([np.array(x, dtype=np.int64) for x in side]) for side in (left, right)))
+    assert got.tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
+    none = pd.Series([], dtype=object)
+    assert minhash_dedup._overlaps(none, none).shape == (0, 0)
