@@ -286,3 +286,28 @@ def test_rates_of_shared_vectors_equal_those_of_every_query(spark):
     for label in (0, 1):
         each = R.knn_contamination(own.withColumn("label", F.lit(label)), refs, 5).collect()
         assert {r["query_id"]: r["opposite_rate"] for r in each} == {q: x for (q, y), x in rates.items() if y == label}
+
+
+def test_shared_vectors_are_searched_once(spark, monkeypatch):
+    import numpy as np
+
+    draw, searched, real = np.random.default_rng(3), [], R.nearest
+
+    def counted(queries, references, k, **options):
+        searched.append(references.count())
+        return real(queries, references, k, **options)
+
+    monkeypatch.setattr(R, "nearest", counted)
+    matrix = draw.normal(size=(40, 6)).round(3)
+    matrix[7] = matrix[3]  # a tie between vectors, which ids decide
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id bigint, vec array<double>")
+    pairs = [(int(r), int(draw.integers(0, 30)) if r % 3 else 3) for r in draw.permutation(200)]  # vector 3 is crowded
+    refs = spark.createDataFrame(pairs, "ref_id bigint, vec_id bigint")
+    queries = vectors.withColumnRenamed("vec_id", "query_id")
+    found = R.nearest_shared(queries, refs, vectors, 10).collect()
+    unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
+    away = np.round(1 - unit @ unit.T, 9)
+    for q in range(40):
+        want = [r for _, r in sorted((away[q, v], r) for r, v in pairs)[:10]]
+        assert [r["ref_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    assert searched == [len({v for _, v in pairs})]
