@@ -1,3 +1,4 @@
+import hashlib
 import json
 from collections import Counter
 
@@ -223,6 +224,23 @@ def test_file_manifest(spark, tmp_path):
     assert [tuple(r)[:2] for r in files.verify_manifest(recorded, found).collect()] == [("a.txt", "0")]
 
 
+def test_files_larger_than_a_column_are_hashed(spark, tmp_path, monkeypatch):
+    size, block = (2 << 30) + 5, bytes(1 << 20)
+    with (tmp_path / "two words.bin").open("wb") as sparse:
+        sparse.truncate(size)
+    digest = hashlib.sha256()
+    for at in range(0, size, len(block)):
+        digest.update(block[: size - at])
+    found = files.file_manifest(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("two words.bin", size, digest.hexdigest())]
+    (tmp_path / "two words.bin").unlink()
+    for name in "ab":
+        (tmp_path / name).write_text(name)
+    whole = files.content_digest(spark, str(tmp_path))
+    monkeypatch.setattr(files, "HELD_BYTES", 0)
+    assert files.content_digest(spark, str(tmp_path)) == whole
+
+
 def test_missing_role_fails_the_selection(spark):
     rows = [("a", 1, "cv_validation", "accuracy", 0.5), ("b", 2, None, "accuracy", 0.9)]
     with pytest.raises(Exception, match="other roles"):

@@ -13,7 +13,7 @@ from pairforge.operators.coverage import breadth_depth_arrays
 from pairforge.operators.detections import suppress
 from pairforge.operators.embed import embed_texts
 from pairforge.operators.metrics import keep_first
-from pairforge.operators.scaling import checkpoint_folder
+from pairforge.operators.scaling import checkpoint_folder, durable
 from pairforge.plans.pairing import build_pairs
 from pairforge.sources import files as X
 from pairforge.sources import tables as S
@@ -188,7 +188,7 @@ def file_manifest(v: Views):
 
 @query("S11_verify_manifest")
 def verify_manifest(v: Views):
-    actual = X.file_manifest(v.spark, v.sf_dir)
+    actual = durable(X.file_manifest(v.spark, v.sf_dir))  # read three times, hashed once
     spoiled = F.when(F.col("path") == "orders.parquet", F.sha2(F.lit("other"), 256)).otherwise(
         F.col("sha256")
     )
