@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.operators.pairs import (
+    RANKED,
     align_pairs,
     assign_roles,
     attach_texts,
@@ -22,14 +25,15 @@ def build_pairs(
     sources: DataFrame,
     scored: DataFrame,
     settings: PairSettings = PairSettings(),
-    texts: DataFrame | None = None,
+    texts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Aligned pairs of all sources; sources without candidates give none.
 
-    Ranking runs on scores alone. ``texts(source_id, ordinal, candidate_text)`` supplies
-    the texts of the winners; by default they come from ``scored``.
+    Ranking runs on scores alone. ``texts`` supplies the texts of the winners as ``attach_texts``
+    describes; by default they come from ``scored``, which otherwise may carry a ``text_digest``
+    in place of the text.
     """
-    pool = durable(deduplicate(scored, keep_text=False))
+    pool = durable(deduplicate(scored, keep_text=False).select(*RANKED))
     slim = align_pairs(order_for_pairing(assign_roles(pool, settings), settings), settings)
     pairs = attach_texts(durable(slim), scored if texts is None else texts)
     anchors = sources.select(

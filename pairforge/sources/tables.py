@@ -132,10 +132,18 @@ def prediction_lock(df: DataFrame, datasets: Sequence[str], methods: Sequence[st
     )
 
 
-def write_table(df: DataFrame, path: str, file_format: str = "parquet", columns: Sequence[str] = ()) -> None:
-    """Write parquet, csv or json; ``columns`` picks a subset such as the minimal pairs."""
+def write_table(
+    df: DataFrame, path: str, file_format: str = "parquet", columns: Sequence[str] = (), compression: str | None = None
+) -> None:
+    """Write parquet, csv or json; ``columns`` picks a subset such as the minimal pairs.
+
+    ``compression`` is the format's own by default. A csv of several lines a row is read by one task
+    a file anyway, so ``gzip`` costs it no splits.
+    """
     out = df.select(*columns) if columns else df
     writer = out.write.mode("overwrite")
+    if compression is not None:
+        writer.option("compression", compression)
     if file_format == "csv":
         writer.option("escape", '"').csv(path, header=True)
     elif file_format in ("parquet", "json"):

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from pairforge.operators import pairs as P
 from pairforge.operators.contracts import pair_summary, validate_pairs
 from pairforge.operators.preference import preference_records
-from pairforge.plans.pairing import build_pairs
+from pairforge.plans.pairing import MINIMAL, build_pairs
 from pairforge.settings import PairSettings, PoolSettings
+from pairforge.sources.tables import write_table
 
 DDL = (
     "source_id bigint, ordinal int, candidate_text string, yz_pass boolean, residual_cos double, "
@@ -56,6 +57,28 @@ def test_six_by_six(spark, pool, sources):
     assert {r["check"] for r in validate_pairs(pairs, count=7, maximum=5).collect()} == {"pair_count", "too_many_pairs"}
 
 
+def test_pairing_reads_the_texts_of_the_winners_only(spark, pool, sources):
+    digested = pool.withColumn("text_digest", P.text_digest(F.col("candidate_text"))).drop("candidate_text")
+    asked = []
+
+    def fetch(wanted):
+        asked.append(wanted.count())
+        return wanted.join(pool.select("source_id", "ordinal", "candidate_text"), ["source_id", "ordinal"])
+
+    columns = sorted(build_pairs(sources, pool).columns)
+    expected = build_pairs(sources, pool).select(columns).collect()
+    assert sorted(build_pairs(sources, digested, texts=fetch).select(columns).collect()) == sorted(expected)
+    assert asked == [12]  # two texts of six pairs, of 14 candidates
+
+
+def test_minimal_table_is_compressed(spark, pool, sources, tmp_path):
+    table = build_pairs(sources, pool).withColumn("anchor_text", F.concat(F.repeat(F.lit("word, \"next\"\n"), 1000), F.lit("end")))
+    write_table(table, str(tmp_path / "t"), "csv", MINIMAL, "gzip")
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.csv.gz")) in range(1, 10_000)
+    back = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "t"))
+    assert {r["anchor_text"] for r in back.collect()} == {'word, "next"\n' * 1000 + "end"}
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 8])
 def test_roles_do_not_depend_on_partitions(pool, partitions):
     roles = P.assign_roles(P.deduplicate(pool.repartition(partitions)), PairSettings(chosen_count=2, rejected_count=3))

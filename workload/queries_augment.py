@@ -198,7 +198,7 @@ TASKS = [(1, "Task one. {text}"), (0, "Task zero. {text}")]
 def preference(v: Views):
     templates = v.spark.createDataFrame(TASKS, "label int, template string")
     records = preference_records(
-        build_pairs(v.sources, v.scored(text=True), texts=v.candidates), templates, 3, strict=False
+        build_pairs(v.sources, v.scored(text=True), texts=v.candidate_texts), templates, 3, strict=False
     )
 
     def last_text(column: str):

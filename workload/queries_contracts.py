@@ -24,7 +24,7 @@ from workload.views import EXTERNAL, METHODS, Views
         sum(low)::bigint as low_margin_pairs, 0::bigint as unaligned_pairs from s""",
 )
 def pair_table(v: Views):
-    return rounded(K.pair_summary(build_pairs(v.sources, v.scored(text=True), texts=v.candidates)))
+    return rounded(K.pair_summary(build_pairs(v.sources, v.scored(text=True), texts=v.candidate_texts)))
 
 
 @query(

@@ -133,7 +133,7 @@ PAIR_COLUMNS = (
       from pairs p join sources s using (source_id)""",
 )
 def all_pairs(v: Views):
-    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidates)
+    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidate_texts)
     return rounded(pairs.select(*PAIR_COLUMNS, "anchor_text", "chosen_text", "rejected_text"))
 
 

@@ -113,7 +113,8 @@ def manifest_csv(v: Views):
 )
 def read_pairs(v: Views):
     folder = _folder(v)
-    S.write_table(build_pairs(v.sources, v.scored(text=True), texts=v.candidates), folder)
+    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidate_texts)
+    S.write_table(pairs, folder, compression="zstd")
     pairs = S.read_pairs(v.spark.read.parquet(folder))
     return pairs.select(
         "label",
@@ -142,8 +143,8 @@ def prediction_lock(v: Views):
 )
 def minimal_csv(v: Views):
     folder = _folder(v)
-    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidates)
-    S.write_table(pairs, folder, "csv", S.MINIMAL)
+    pairs = build_pairs(v.sources, v.scored(text=True), texts=v.candidate_texts)
+    S.write_table(pairs, folder, "csv", S.MINIMAL, "gzip")
     schema = "anchor_text string, chosen_text string, rejected_text string, label int"
     back = v.spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(
         folder, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
