@@ -329,3 +329,20 @@ def test_shared_vectors_are_searched_once(spark, monkeypatch):
         want = [r for _, r in sorted((away[q, v], r) for r, v in pairs)[:10]]
         assert [r["ref_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == want
     assert searched == [len({v for _, v in pairs})]
+
+
+def test_held_out_models_read_their_points_once(spark):
+    draw, read = np.random.default_rng(8), spark.sparkContext.accumulator(0)
+    rows = [(i, int(i % 2), int(i % 5), *(float(x) for x in draw.normal(size=2)), float(draw.uniform())) for i in range(200)]
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ddl = "point_id bigint, label int, fold int, dim1 double, dim2 double, value double"
+    points = spark.createDataFrame(rows, ddl).mapInArrow(counted, ddl)
+    assert R.held_out_classifier(points).count() == 2
+    assert read.value == 200
+    assert R.held_out_regression(points, 5).count() == 200
+    assert read.value == 400
