@@ -346,3 +346,23 @@ def test_held_out_models_read_their_points_once(spark):
     assert read.value == 200
     assert R.held_out_regression(points, 5).count() == 200
     assert read.value == 400
+
+
+def test_coarse_products_lose_no_neighbour(monkeypatch):
+    draw, ids = np.random.default_rng(9), np.arange(4000)
+    base = draw.normal(size=(40, 16))
+    refs = np.repeat(base, 100, axis=0) + draw.normal(size=(4000, 16)) * 1e-5  # closer than single precision tells
+    refs[:7] = np.nan
+    refs /= np.linalg.norm(refs, axis=1)[:, None]
+    queries = refs[draw.permutation(4000)[:50]]
+    queries = queries[~np.isnan(queries[:, 0])]
+    away = 1.0 - queries @ refs.T
+    monkeypatch.setattr(R, "PAIR_BYTES", 1000)
+    best = R._Nearest(len(queries), 10)
+    for at in (0, 5, 300, 1500):
+        part = slice(at, {0: 5, 5: 300, 300: 1500, 1500: 4000}[at])
+        best.add_cosines(queries, refs[part], queries.astype(np.float32), refs[part].astype(np.float32), ids[part])
+    for i in range(len(queries)):
+        shown = np.round(np.where(np.isnan(away[i]), np.inf, away[i]), R.TIE_DIGITS)
+        assert (best.ref[best.row == i] == np.lexsort((ids, shown))[:10]).mean() > 0.99, i
+        assert np.allclose(np.sort(best.distance[best.row == i]), np.sort(away[i][~np.isnan(away[i])])[:10], atol=2e-9)

@@ -35,3 +35,14 @@ def test_prediction_lock_query_reads_the_families(spark):
     locked = entry_module.queries()["S6_prediction_lock"](spark, SF).collect()
     assert {r["dataset"] for r in locked} == {"ext_a", "ext_b"} and {r["method"] for r in locked} == {"paired", "edit"}
     assert len({(r["method"], r["weight_id"], r["unit"]) for r in locked}) == len(locked)
+
+
+def test_generated_audit_searches_once_and_sorts_no_predictions(spark, monkeypatch):
+    from pairforge.operators import metrics
+    from workload import views
+
+    searches, real = [], views.nearest_shared
+    monkeypatch.setattr(views, "nearest_shared", lambda *a, **k: searches.append(1) or real(*a, **k))
+    monkeypatch.setattr(metrics, "order_statistics", lambda *a, **k: pytest.fail("rank metrics are not read"))
+    assert entry_module.queries()["M21_generated_audit"](spark, SF).count() == 4
+    assert searches == [1]
