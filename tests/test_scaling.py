@@ -106,3 +106,12 @@ def test_spread_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
     dealt = S.spread(spark.read.parquet(str(tmp_path / "t")))
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1000 and max(sizes) <= 60
+
+
+def test_numbered_slices_are_cut_as_parquet(spark):
+    rows = spark.range(1000).select(F.lit("a long name of a weight").alias("g"), (F.col("id") * 37 % 1000).alias("x"))
+    cut = S.slices(rows, ["g"], ["x"], 4)
+    assert cut.inputFiles() and all(f.endswith(".parquet") for f in cut.inputFiles())
+    ends = cut.groupBy("_slice").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("_slice").collect()
+    assert sum(r["n"] for r in ends) == 1000 and len(ends) > 1
+    assert all(a["high"] < b["low"] for a, b in zip(ends, ends[1:]))
