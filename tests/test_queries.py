@@ -46,3 +46,18 @@ def test_generated_audit_searches_once_and_sorts_no_predictions(spark, monkeypat
     monkeypatch.setattr(metrics, "order_statistics", lambda *a, **k: pytest.fail("rank metrics are not read"))
     assert entry_module.queries()["M21_generated_audit"](spark, SF).count() == 4
     assert searches == [1]
+
+
+def test_external_replicates_leave_out_other_cohorts(spark, monkeypatch):
+    from workload import queries_evaluation as Q
+
+    seen, real = set(), Q.B.replicate_metrics
+
+    def watched(predictions, settings):
+        seen.update(r["dataset"] for r in predictions.select("dataset").distinct().collect())
+        return real(predictions, settings)
+
+    monkeypatch.setattr(Q.B, "replicate_metrics", watched)
+    rows = entry_module.queries()["B3_external_replicates"](spark, SF).collect()
+    assert rows and {r["dataset"] for r in rows} == {"external_average"}
+    assert seen == {"ext_a", "ext_b"}
